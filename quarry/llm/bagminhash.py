@@ -174,12 +174,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def with_class(docs: DataFrame, *cols: str) -> DataFrame:
-    """`cols` of documents with _key, _class (the class's smallest doc_id), _n_links."""
+    """`cols` of documents with _key, _class (the class's smallest doc_id), _n_links, _class_key."""
     c = near_classes(docs)
     ids = docs.select(text_key().alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     m = materialize(c.join(ids, "key"))
     low = m.groupBy("class_key").agg(F.min("first_id").alias("_class"))
-    m = m.join(low, "class_key").select(F.col("key").alias("_key"), "_class", F.col("n_links").alias("_n_links"), F.col("first_id").alias("_first"))
+    m = m.join(low, "class_key").select(F.col("key").alias("_key"), "_class", F.col("n_links").alias("_n_links"), F.col("class_key").alias("_class_key"))
     return docs.select(*cols, text_key().alias("_key")).join(m, "_key")
 
 
