@@ -172,10 +172,12 @@ def remove_repeats(docs: DataFrame, length: int, unit: str) -> DataFrame:
     return mark(docs, length, unit).mapInPandas(make, "key binary, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-@F.pandas_udf("string")
-def as_text(kept: pd.Series) -> pd.Series:
+def as_text(col: str):
     """Bytes as text; bytes that are no whole character any more are left out."""
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+    @F.pandas_udf("string")
+    def decode(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+    return decode(col)
 
 
 def op7_substring_dedup(spark, sf_dir):
