@@ -2,9 +2,10 @@
 
 Levels: a short window (about half of the full length) is sampled by winnowing, so
 that every full window holds one sampled short window that depends on its content
-alone. Short windows that occur once are dropped; those that repeat are extended to
-the full length and counted again. Only windows that survive both levels are shuffled
-back. Equal texts are handled once with their number of copies.
+alone. Short windows that occur once are dropped. Those that repeat are extended to the
+whole text that their full windows cover; where that repeats, all of them do, and else
+the full windows are counted, once per different text. Equal texts are handled once with
+their number of copies. Windows are compared by 64-bit hashes.
 
 Defined cases: null is the empty text; texts shorter than the window lose nothing;
 exact copies of a text at least one window long lose everything; repeated rows count
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import distinct_texts, materialize, text_key
 
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -81,64 +83,80 @@ def byte_symbols(text: str) -> np.ndarray:
     return BYTES[np.frombuffer(text.encode("utf-8"), np.uint8)]
 
 
+def regions(sym: np.ndarray, length: int):
+    """Per run of windows that share a sampled short window: first and last window start,
+    the short window's hash and the hash of all text that the run's windows cover."""
+    short = length // 2
+    h, w = windows(sym, short), windows(sym, length)
+    at = argmins(h, length - short + 1)
+    cut = np.flatnonzero(np.diff(at)) + 1
+    a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
+    with np.errstate(over="ignore"):  # two full windows cover the run's text
+        region = mix(w[a] * GOLD + w[b] + mix((b - a + 1).astype(np.uint64)))
+    return a, b, h[at[a]].view(np.int64), region.view(np.int64), w.view(np.int64)
+
+
 def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """key, text, runs array<long> [start, end) in flat pairs: what repeated windows cover."""
     symbols = word_symbols if unit == "word" else byte_symbols
-    short = length // 2
-    width = length - short + 1
-    texts = materialize(distinct_texts(docs))
+    texts = materialize(distinct_texts(docs).withColumn("id", F.monotonically_increasing_id()))
 
-    def anchors(batches):
+    def sample(batches):
         for pdf in batches:
-            keys, hs, ns = [], [], []
-            for key, text, copies in zip(pdf.key, pdf.text, pdf.copies):
+            out = []
+            for i, text, copies in zip(pdf.id, pdf.text, pdf.copies):
                 sym = symbols(text)
-                if len(sym) < length or copies > 1:
-                    if len(sym) < length:
-                        continue
-                h = windows(sym, short)
-                at = np.unique(argmins(h, width))
-                u, c = np.unique(h[at], return_counts=True)
-                keys += [key] * len(u)
-                hs.append(u.view(np.int64))
-                ns.append(c * copies)
-            if keys:
-                yield pd.DataFrame({"key": keys, "h": np.concatenate(hs), "n": np.concatenate(ns)})
-
-    def repeated(rows):
-        common = rows.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
-        return rows.join(common, "h").groupBy("key").agg(F.collect_list("h").alias("hs"))
-
-    level1 = materialize(texts.mapInPandas(anchors, "key binary, h long, n long"))
-    cand = texts.join(repeated(level1), "key")
+                if len(sym) >= length:
+                    _, _, h, r, _ = regions(sym, length)
+                    u, c = np.unique(np.stack([h, r], 1), axis=0, return_counts=True)
+                    out.append(np.c_[np.full(len(u), i), u, c * copies])
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["id", "h", "region", "n"])
+
+    # level 1: short windows that occur more than once
+    level1 = materialize(texts.select("id", "text", "copies").mapInPandas(sample, "id long, h long, region long, n long"))
+    common = level1.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
+    live = materialize(level1.join(common, "h"))
+    # level 2: a run's whole text that repeats, else its windows, once per different text
+    reg = live.groupBy("h", "region").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    several = reg.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    reg = materialize(reg.join(several.withColumn("more", F.lit(True)), "h", "left"))
+    asked = reg.where("more").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list("n").alias("ns"))
 
     def full(batches):
         for pdf in batches:
-            keys, hs, ns = [], [], []
-            for key, text, copies, ok in zip(pdf.key, pdf.text, pdf.copies, pdf.hs):
-                sym = symbols(text)
-                h = windows(sym, short)
-                live = np.isin(h, np.asarray(ok, np.int64).view(np.uint64))
-                w = windows(sym, length)[live[argmins(h, width)]]
-                u, c = np.unique(w, return_counts=True)
-                keys += [key] * len(u)
-                hs.append(u.view(np.int64))
-                ns.append(c * copies)
-            if keys:
-                yield pd.DataFrame({"key": keys, "h": np.concatenate(hs), "n": np.concatenate(ns)})
-
-    level2 = materialize(cand.where("copies = 1").mapInPandas(full, "key binary, h long, n long").unionByName(
-        cand.where("copies > 1").mapInPandas(full, "key binary, h long, n long")))
-    hits = repeated(level2)
+            out = []
+            for text, rs, ns in zip(pdf.text, pdf.rs, pdf.ns):
+                a, b, _, r, w = regions(symbols(text), length)
+                want = dict(zip(rs, ns))
+                first = np.unique(r, return_index=True)[1]
+                for k in first[np.isin(r[first], rs)]:
+                    m = b[k] - a[k] + 1
+                    out.append(np.c_[np.full(m, r[k]), np.arange(m), w[a[k]:b[k] + 1], np.full(m, want[r[k]])])
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["region", "off", "w", "n"])
+
+    level2 = materialize(texts.select("id", "text").join(asked, "id").select("text", "rs", "ns").mapInPandas(full, "region long, off long, w long, n long"))
+    again = level2.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
+    some = level2.where("n = 1").join(again, "w").groupBy("region").agg(F.collect_set("off").alias("offs"))
+    hit = reg.where("n > 1").select("region").distinct().withColumn("offs", F.lit(None).cast("array<long>")).unionByName(some)
+    hits = live.select("id", "region").join(hit, "region").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list(F.coalesce("offs", F.array().cast("array<long>"))).alias("os"))
 
     def cover(batches):
         for pdf in batches:
             out = []
-            for text, hs in zip(pdf.text, pdf.hs):
+            for text, rs, os in zip(pdf.text, pdf.rs, pdf.os):
                 runs = []
-                if hs is not None and len(hs):
+                if rs is not None and len(rs):
                     sym = symbols(text)
-                    hit = np.isin(windows(sym, length), np.asarray(hs, np.int64).view(np.uint64))
+                    a, b, _, r, w = regions(sym, length)
+                    want, hit = dict(zip(rs, os)), np.zeros(len(w), np.int64)
+                    for k in np.flatnonzero(np.isin(r, rs)):
+                        o = want[r[k]]
+                        if len(o):
+                            hit[a[k] + np.asarray(o)] = 1
+                        else:
+                            hit[a[k]:b[k] + 1] = 1
                     d = np.zeros(len(sym) + 1, np.int64)
                     d[:len(hit)] += hit
                     d[length:length + len(hit)] -= hit
@@ -147,7 +165,7 @@ def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
                 out.append(runs)
             yield pd.DataFrame({"key": pdf.key, "text": pdf.text, "runs": out})
 
-    return texts.join(hits, "key", "left").select("key", "text", "hs").mapInPandas(cover, "key binary, text string, runs array<long>")
+    return texts.join(hits, "id", "left").select("key", "text", "rs", "os").mapInPandas(cover, "key binary, text string, runs array<long>")
 
 
 def _kept(text: str, runs, unit: str):
