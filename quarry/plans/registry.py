@@ -1,3 +1,167 @@
 """All queries over the retrieval operators, with their SQL."""
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import chunks as C, retrieval as R
+from quarry.sources.tables import run_sql, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None, **fixed):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def _both(name: str, sql: str, duck: str | None = None):
+    """A query whose text both engines accept (Spark takes its tables in braces)."""
+    QUERIES[name] = lambda spark, d: run_sql(spark, d, sql)
+    ORACLES[name] = (duck or sql).replace("{", "").replace("}", "")
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+TOKENS = r"""tok AS (SELECT doc_id id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM documents),
+len AS (SELECT doc_id id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) dl FROM documents),
+post AS (SELECT id, term, count(*) tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) df FROM post GROUP BY term),
+st AS (SELECT count(*) n, avg(dl) avgdl FROM len),
+q AS (SELECT item_id query_id, term, count(*) qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM benchmark) GROUP BY ALL)"""
+CUT = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= {k}"
+BM25 = f"""{TOKENS}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) r FROM df, st), idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END idf FROM raw),
+s AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score FROM q JOIN idf USING (term) JOIN post USING (term) JOIN len USING (id), st GROUP BY ALL)"""
+PLUS = f"""{TOKENS}, s AS (SELECT query_id, id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score
+FROM q JOIN df USING (term) JOIN post USING (term) JOIN len USING (id), st GROUP BY ALL)"""
+TFIDF = f"""{TOKENS}, w AS (SELECT term, ln((1 + n) / (1 + df)) + 1 idf FROM df, st), d AS (SELECT id, term, tf * idf w FROM post JOIN w USING (term)), dn AS (SELECT id, sqrt(sum(w * w)) dn FROM d GROUP BY id),
+qq AS (SELECT query_id, term, qtf * idf qw FROM q JOIN w USING (term)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) qn FROM qq GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(qw * w) / any_value(dn) / any_value(qn), 6) score FROM qq JOIN d USING (term) JOIN dn USING (id) JOIN qn USING (query_id) GROUP BY ALL)"""
+DENSE = """vs AS (SELECT q.vec_id query_id, v.vec_id id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))"""
+FUSE = f"""WITH {BM25}, lex AS ({CUT.format(k=20)}), {DENSE}, vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 20),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) score FROM (SELECT query_id, id, rank FROM lex UNION ALL SELECT query_id, id, rank FROM vec) GROUP BY ALL),
+fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5)"""
+TRUTH = "gt AS (SELECT q.vec_id query_id, v.vec_id id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id % 7 = 0)"
+
+
+def _lexical(spark, d, k=5):
+    return R.bm25(_queries(spark, d), R.build_index(_docs(spark, d)), k)
+
+
+def _dense(spark, d, k=5):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.join(_queries(spark, d).select(F.col("query_id").alias("id")), "id", "left_semi")
+    return R.dense(q.withColumnRenamed("id", "query_id"), v, k)
+
+
+@query(f"WITH {TFIDF} {CUT.format(k=5)}")
+def c1_tfidf_search(spark, d):
+    return R.tfidf(_queries(spark, d), R.build_index(_docs(spark, d)))
+
+
+@query(f"WITH {BM25} {CUT.format(k=5)}")
+def c2_bm25_search(spark, d):
+    return _lexical(spark, d)
+
+
+@query(f"WITH {PLUS} {CUT.format(k=5)}")
+def a5_bm25_plus_one(spark, d):
+    return R.bm25(_queries(spark, d), R.build_index(_docs(spark, d)), k1=1.2, floor=None)
+
+
+@query(f"WITH {DENSE} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 5")
+def c3_dense_search(spark, d):
+    return _dense(spark, d)
+
+
+@query(f"{FUSE} SELECT * FROM fused")
+def c4_hybrid_search(spark, d):
+    return R.rrf(_lexical(spark, d, 20), _dense(spark, d, 20))
+
+
+@query(f"""{FUSE}, {TRUTH}, g AS (SELECT query_id, count(*) n FROM gt GROUP BY 1), r AS (SELECT query_id, count(*) n FROM fused GROUP BY 1),
+h AS (SELECT query_id, count(*) hits, min(rank) first, sum(1 / log2(rank + 1)) dcg FROM fused JOIN gt USING (query_id, id) GROUP BY 1)
+SELECT query_id, round(coalesce(hits / g.n, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(g.n, r.n) + 1), lambda x: 1 / log2(x + 1))), 0), 6) AS ndcg
+FROM g LEFT JOIN r USING (query_id) LEFT JOIN h USING (query_id)""")
+def a9_metrics(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.join(_queries(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    truth = q.withColumnRenamed("vec_id", "query_id").join(e.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "id"), "label").select("query_id", "id")
+    return R.metrics(c4_hybrid_search(spark, d), truth)
+
+
+@query(f"""{FUSE}, rs AS (SELECT query_id, id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+')), regexp_extract_all(lower(t.text), '[\\p{{L}}\\p{{N}}]+')))
+/ greatest(len(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+'))), 1), 6) score FROM fused JOIN benchmark b ON b.item_id = query_id JOIN documents t ON t.doc_id = id)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rs""")
+def c5_rerank(spark, d):
+    c = c4_hybrid_search(spark, d).join(_queries(spark, d).withColumnRenamed("text", "q"), "query_id").join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    return R.rerank(c, R.overlap_score(F.col("q"), F.col("text"))).select("query_id", "id", "score", "rank")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents")
+def t5_token_count(spark, d):
+    return _docs(spark, d).select("doc_id", T.token_count("text").alias("n"))
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term")
+def a3_document_frequency(spark, d):
+    return R.build_index(_docs(spark, d))["terms"]
+
+
+@query("""SELECT conv_id, turn, concat(text, CASE WHEN regexp_matches(lower(text), '\\b(capital expenditures|capex)\\b') THEN ' purchases of property and equipment' ELSE '' END,
+CASE WHEN regexp_matches(lower(text), '\\bnet income\\b') THEN ' net earnings profit' ELSE '' END, CASE WHEN regexp_matches(lower(text), '\\brevenue\\b') THEN ' net sales' ELSE '' END) AS expanded FROM conversations""")
+def d1_expand_query(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.expand(F.col("text")).alias("expanded"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) + f" THEN '{t}' END" for t, ks in T.COMPANIES.items()) + "], lambda x: x IS NOT NULL), ',') AS tickers, array_to_string(regexp_extract_all(text, '\\b(2022|2023|2024)\\b', 1), ',') AS years FROM documents")
+def d3_d4_route(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.route_companies(F.col("text")), ",").alias("tickers"), F.array_join(T.route_years(F.col("text")).cast("array<string>"), ",").alias("years"))
+
+
+@query()
+def t7_greedy_chunks(spark, d):
+    return C.chunk(_docs(spark, d), "doc_id", 512, 64)
+
+
+@query("""SELECT doc_id, i AS piece, array_to_string(list_slice(string_split(text, ' '), i * 192 + 1, i * 192 + 256), ' ') AS text
+FROM (SELECT doc_id, text, unnest(range(0, (len(string_split(text, ' ')) - 1) // 192 + 1)) AS i FROM documents)""")
+def t8_word_windows(spark, d):
+    return C.word_windows(_docs(spark, d), "doc_id", 256, 64)
+
+
+@query()
+def q2_diverse_selection(spark, d):
+    return C.diverse(_docs(spark, d).where("n_chars >= 200").select("doc_id", "lang", "text", F.col("n_chars").alias("score")), "lang", 30)
+
+
+@query()
+def t1_clean_html(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean_html("html").alias("text"))
+
+
+_both("a12_grouping_sets", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM {documents} GROUP BY GROUPING SETS ((lang), (lang, source))")
+_both("a13_share", "SELECT lang, count(*) AS n, round(count(*) * 100.0e0 / sum(count(*)) OVER (), 6) AS share FROM {documents} GROUP BY lang")
+_both("a14_cube", "SELECT lang, source, count(*) AS n FROM {documents} GROUP BY CUBE (lang, source)")
+_both("a15_quartiles", "SELECT lang, percentile(n_chars, 0.25) AS q1, percentile(n_chars, 0.5) AS q2, percentile(n_chars, 0.75) AS q3 FROM {documents} GROUP BY lang",
+      "SELECT lang, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3 FROM documents GROUP BY lang")
+_both("a16_pivot", "SELECT source, CAST(sum(CASE WHEN lang = 'en' THEN n_chars END) AS BIGINT) AS en, CAST(sum(CASE WHEN lang = 'de' THEN n_chars END) AS BIGINT) AS de FROM {documents} GROUP BY source")
+_both("a10_keyword_score", "SELECT doc_id, " + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{k}', ''))) / {len(k)}" for k in ("the", "tion", "with")) + " AS score FROM {documents}")
+_both("w7_selection_sort", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM {documents}")
+_both("p2_metadata_filter", "SELECT doc_id, source, lang FROM {documents} WHERE source IN ('src0', 'src1') AND lang IN ('en', 'fr')")
+_both("j7_semi", "SELECT doc_id FROM {documents} d LEFT SEMI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+_both("j8_anti", "SELECT doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_both("u1_union", "SELECT doc_id FROM {labels} UNION SELECT vec_id FROM {embeddings}")
+_both("u2_intersect", "SELECT doc_id FROM {labels} INTERSECT SELECT vec_id FROM {embeddings}")
+_both("u3_except", "SELECT doc_id FROM {labels} EXCEPT SELECT vec_id FROM {embeddings}")
+_both("p17_category_label", "SELECT role, replace(concat(upper(left(role, 1)), lower(substring(role, 2))), '_', ' ') AS label, count(*) AS n FROM {conversations} GROUP BY role")
+_both("d6_context", "SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> concat('[', x.role, '] ', x.text)), '\\n') AS context FROM {conversations} GROUP BY conv_id",
+      "SELECT conv_id, string_agg(concat('[', role, '] ', text), chr(10) ORDER BY turn, role, text) AS context FROM conversations GROUP BY conv_id")
