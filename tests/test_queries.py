@@ -27,7 +27,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, duck, name):
     got = QUERIES[name](spark, D).toPandas()
-    assert len(got)
+    assert len(got) or name in ORACLES
     if name in ORACLES:
         want = duck.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
