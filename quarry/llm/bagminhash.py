@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import distinct_texts, documents, materialize, text_key
+from .common import distinct_texts, documents, materialize, release, text_key
 from .repeats import mix, windows, word_symbols
 
 BANDS, ROWS, WORDS, SIMILARITY = 28, 5, 5, 0.8
@@ -115,7 +115,6 @@ def links(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": pdf.key, "bag": [x.tobytes() for x in bags], "bands": [r if f else [] for r, f in zip(b.tolist(), full)]})
 
     signed = materialize(texts.select("key", "text").mapInPandas(sign, "key binary, bag binary, bands array<long>"))
-    bags = signed.select("key", "bag")
     left = signed.select("key", F.explode("bands").alias("band"))
     # only buckets with two texts or more
     busy = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
@@ -125,17 +124,25 @@ def links(texts: DataFrame) -> DataFrame:
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= SIMILARITY for p, q in zip(x, y)])
 
-    found = None
+    found, bags = [], None
     while not open_.isEmpty():
+        ids = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        was, bags = bags, materialize((signed.select("key", "bag") if bags is None else bags).join(ids, "key", "left_semi"))
+        if was is not None:
+            release(was)
         pairs = open_.select("a", "b").distinct()
         pairs = pairs.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("key").alias("b"), F.col("bag").alias("y")), "b")
         checked = materialize(pairs.select("a", "b", near("x", "y").alias("ok")))
-        good = checked.where("ok").select("a", "b")
-        found = good if found is None else found.unionByName(good)
+        found.append(checked)
         rest = materialize(open_.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("band", F.col("b").alias("key")))
         busy = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
-        open_ = materialize(rest.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
-    return (found if found is not None else open_.select("a", "b")).distinct()
+        was, open_ = open_, materialize(rest.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
+        release(was, rest)
+    release(signed, *([bags] if bags is not None else []))
+    out = open_.select("a", "b")
+    for c in found:
+        out = out.unionByName(c.where("ok").select("a", "b"))
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,7 +165,9 @@ def components(edges: DataFrame) -> DataFrame:
     was = None
     while (now := sign(cur)) != was:
         was = now
-        cur = materialize(star(materialize(star(cur, True)), False))
+        old, mid = cur, materialize(star(cur, True))
+        cur = materialize(star(mid, False))
+        release(old, mid)
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -169,8 +178,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     e = materialize(links(texts))
     root = components(e)
     degree = e.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    return materialize(texts.select("key", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+    out = materialize(texts.select("key", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
                        .select("key", "copies", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    release(texts, e)
+    return out
 
 
 def with_class(docs: DataFrame, *cols: str) -> DataFrame:

@@ -20,13 +20,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_tables: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    _tables[path] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _tables.pop(path, None)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete materialized tables that no unfinished frame reads any more."""
+    for f in frames:
+        _delete(f.sparkSession, f._quarry_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all materialized tables; for the start of a stage whose input is written."""
+    for path in list(_tables):
+        _delete(spark, path)
 
 
 def text_key():

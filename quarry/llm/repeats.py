@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import distinct_texts, materialize, text_key
+from .common import distinct_texts, materialize, release, text_key
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,6 +117,7 @@ def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     level1 = materialize(texts.select("id", "text", "copies").mapInPandas(sample, "id long, h long, region long, n long"))
     common = level1.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
     live = materialize(level1.join(common, "h"))
+    release(level1)
     # level 2: a run's whole text that repeats, else its windows, once per different text
     reg = live.groupBy("h", "region").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
     several = reg.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import documents
 
-SAMPLE, MIN_ODDS, MIN_DOCS, REACH, THRESHOLD = 20_000, 3.0, 6, 4, 0.3
+SAMPLE, MIN_ODDS, MIN_DOCS, REACH, THRESHOLD = 6_000, 3.0, 6, 4, 0.3
 INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
 THREATS = "kill hurt destroy attack beat shoot punch".split()
 TARGETS = "you your he she they him her them people everyone".split()
