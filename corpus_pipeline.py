@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.llm import bagminhash, mixing, packing, repeats, toxicity
-from quarry.llm.common import shared_dir, text_key
+from quarry.llm.common import release_all, shared_dir, text_key
 
 ORACLE_SQL = None
 
@@ -17,12 +17,14 @@ def drop_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """The document of smallest doc_id of each near-duplicate class."""
+    release_all(spark)
     r = bagminhash.with_class(docs, *docs.columns)
     return r.where(F.col("doc_id").eqNullSafe(F.col("_class"))).dropDuplicates(["_class_key"]).select(docs.columns)
 
 
 def cut_repeated_bytes(spark, docs, sf_dir):
     """Texts without their repeated 200-byte strings; characters cut in part go whole."""
+    release_all(spark)
     kept = repeats.remove_repeats(docs, 200, "byte").where("n_removed > 0").select(F.col("key").alias("_key"), repeats.as_text("kept").alias("_kept"))
     j = docs.withColumn("_key", text_key()).join(kept, "_key", "left")
     j = j.withColumn("text", F.coalesce("_kept", "text"))
@@ -33,6 +35,7 @@ def cut_repeated_bytes(spark, docs, sf_dir):
 
 def mix_sources(spark, docs, sf_dir):
     """Whole copies of documents as their sources' targets ask, range-sorted by training position."""
+    release_all(spark)
     m = mixing.mix(docs, keep=tuple(docs.columns)).where("copies > 0")
     return m.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).orderBy("position", "doc_id", "_copy").select(docs.columns)
 
