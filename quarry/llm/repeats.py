@@ -4,8 +4,9 @@ Levels: a short window (about half of the full length) is sampled by winnowing,
 that every full window holds one sampled short window that depends on its content
 alone. Short windows that occur once are dropped. Those that repeat are extended to the
 whole text that their full windows cover; where that repeats, all of them do, and else
-the full windows are counted, once per different text. Equal texts are handled once with
-their number of copies. Windows are compared by 64-bit hashes.
+the full windows are counted, once per different text: over words by their hashes, over
+bytes from the suffix order of those texts, sorted by Lyndon groups (lyndon.py). Equal
+texts are handled once with their number of copies. Windows are compared by 64-bit hashes.
 
 Defined cases: null is the empty text; texts shorter than the window lose nothing;
 exact copies of a text at least one window long lose everything; repeated rows count
@@ -18,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import distinct_texts, materialize, release, text_key
+from .lyndon import suffix_order
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 2048
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -96,6 +99,71 @@ def regions(sym: np.ndarray, length: int):
     return a, b, h[at[a]].view(np.int64), region.view(np.int64), w.view(np.int64)
 
 
+def hashed_windows(asked: DataFrame, length: int) -> DataFrame:
+    """region, off, w, n of every window of words in the regions asked for; off is -1 where
+    the region itself repeats."""
+    def full(batches):
+        for pdf in batches:
+            out = []
+            for text, rs, ns in zip(pdf.text, pdf.rs, pdf.ns):
+                a, b, _, r, w = regions(word_symbols(text), length)
+                want = dict(zip(rs, ns))
+                first = np.unique(r, return_index=True)[1]
+                for k in first[np.isin(r[first], rs)]:
+                    m = b[k] - a[k] + 1
+                    n = want[r[k]]
+                    out.append(np.c_[np.full(m, r[k]), np.arange(m) if n == 1 else np.full(m, -1), w[a[k]:b[k] + 1], np.full(m, n)])
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["region", "off", "w", "n"])
+    return asked.mapInPandas(full, "region long, off long, w long, n long")
+
+
+def sorted_windows(asked: DataFrame, length: int) -> DataFrame:
+    """The same for bytes, by suffix sorting. The regions are dealt in ranges of their short
+    window, so that those that may share windows are neighbours; blocks of about BLOCK bytes
+    are sorted by Lyndon groups, and neighbours in suffix order with the same `length` bytes
+    become one class: its first row carries the class's number of starts, the others 0, and
+    of members in repeated regions none but the first is kept. Where a range or block cuts
+    through a group is of no matter, as classes are summed by content afterwards."""
+    def bodies(batches):
+        for pdf in batches:
+            out = []
+            for text, rs, ns in zip(pdf.text, pdf.rs, pdf.ns):
+                data = text.encode("utf-8")
+                a, b, h, r, _ = regions(byte_symbols(text), length)
+                want = dict(zip(rs, ns))
+                first = np.unique(r, return_index=True)[1]
+                out += [(h[k], r[k], want[r[k]], data[a[k]:b[k] + length]) for k in first[np.isin(r[first], rs)]]
+            if out:
+                yield pd.DataFrame(out, columns=["h", "region", "n", "body"])
+
+    def classes(batches):
+        for pdf in batches:
+            size = pdf.body.map(len).to_numpy() + 1
+            stop = np.cumsum(size)
+            last = np.append(np.diff((stop - 1) // BLOCK) > 0, True)  # regions that end a block
+            sym = np.frombuffer(b"\0".join([*pdf.body, b""]), np.uint8).astype(np.int64) + 2
+            sym[stop - 1] = 1 - last
+            hard = np.flatnonzero(last)
+            order = suffix_order(sym, np.diff(np.append(0, stop[hard])))
+            row = np.repeat(np.arange(len(size)), size)
+            off = np.arange(len(sym)) - (stop - size)[row]
+            order = order[off[order] < (size - length)[row[order]]]
+            w = windows(mix(sym.astype(np.uint64) * GOLD), length).view(np.int64)[order]
+            row, off = row[order], off[order]
+            block = np.searchsorted(hard, row)
+            head = np.ones(len(order), bool)
+            head[1:] = (w[1:] != w[:-1]) | (block[1:] != block[:-1])
+            n = pdf.n.to_numpy()[row]
+            total = np.where(head, np.add.reduceat(n, np.flatnonzero(head))[np.cumsum(head) - 1], 0)
+            keep = head | (n == 1)
+            yield pd.DataFrame({"region": pdf.region.to_numpy()[row], "off": np.where(n == 1, off, -1), "w": w, "n": total})[keep]
+
+    dealt = materialize(asked.mapInPandas(bodies, "h long, region long, n long, body binary"))
+    dealt = dealt.repartitionByRange("h", "region").sortWithinPartitions("h", "region")
+    return dealt.mapInPandas(classes, "region long, off long, w long, n long")
+
+
 def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """key, text, runs array<long> [start, end) in flat pairs: what repeated windows cover."""
     symbols = word_symbols if unit == "word" else byte_symbols
@@ -124,22 +192,10 @@ def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     reg = materialize(reg.join(several.withColumn("more", F.lit(True)), "h", "left"))
     asked = reg.where("more").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list("n").alias("ns"))
 
-    def full(batches):
-        for pdf in batches:
-            out = []
-            for text, rs, ns in zip(pdf.text, pdf.rs, pdf.ns):
-                a, b, _, r, w = regions(symbols(text), length)
-                want = dict(zip(rs, ns))
-                first = np.unique(r, return_index=True)[1]
-                for k in first[np.isin(r[first], rs)]:
-                    m = b[k] - a[k] + 1
-                    out.append(np.c_[np.full(m, r[k]), np.arange(m), w[a[k]:b[k] + 1], np.full(m, want[r[k]])])
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["region", "off", "w", "n"])
-
-    level2 = materialize(texts.select("id", "text").join(asked, "id").select("text", "rs", "ns").mapInPandas(full, "region long, off long, w long, n long"))
+    asked = texts.select("id", "text").join(asked, "id").select("text", "rs", "ns")
+    level2 = materialize(sorted_windows(asked, length) if unit == "byte" else hashed_windows(asked, length))
     again = level2.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
-    some = level2.where("n = 1").join(again, "w").groupBy("region").agg(F.collect_set("off").alias("offs"))
+    some = level2.where("off >= 0").join(again, "w").groupBy("region").agg(F.collect_set("off").alias("offs"))
     hit = reg.where("n > 1").select("region").distinct().withColumn("offs", F.lit(None).cast("array<long>")).unionByName(some)
     hits = live.select("id", "region").join(hit, "region").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list(F.coalesce("offs", F.array().cast("array<long>"))).alias("os"))
 
