@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import distinct_texts, materialize, release, text_key
 from .lyndon import suffix_order
 
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+GOLD, DOUBLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCK = 2048
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -34,35 +34,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def windows(sym: np.ndarray, length: int) -> np.ndarray:
     """Hash of every window of `length` symbols, by doubling shorter hashes."""
-    n = len(sym) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h, size, out, off, rest = sym, 1, None, 0, length
+    return windows_of(sym, length)[0]
+
+
+def windows_of(sym: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """The same for several lengths, which share the doubled hashes."""
+    done = [None] * len(lengths)
+    off = [0] * len(lengths)
+    h, size, longest = sym, 1, max(lengths)
     with np.errstate(over="ignore"):
-        while rest:
-            if rest & 1:
-                part = h[off:off + n]
-                out = part if out is None else mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-                off += size
-            rest >>= 1
-            if rest:
-                m = len(h) - size
-                h = mix(h[:m] * np.uint64(0xD6E8FEB86659FD93) + h[size:])
-                size *= 2
-    return out
+        while size <= longest:
+            for i, length in enumerate(lengths):
+                n = max(0, len(sym) - length + 1)
+                if length & size:
+                    part = h[off[i]:off[i] + n] if n else np.empty(0, np.uint64)
+                    done[i] = part if done[i] is None else step(done[i], GOLD, part)
+                    off[i] += size
+            if size * 2 <= longest:
+                m = max(0, len(h) - size)
+                h = step(h[:m], DOUBLE, h[size:] if m else h[:0])
+            size *= 2
+        return [mix(x) for x in done]
+
+
+def step(a: np.ndarray, factor: np.uint64, b: np.ndarray) -> np.ndarray:
+    x = a * factor
+    x += b
+    x ^= x >> np.uint64(29)
+    return x
+
+
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def argmins(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum in each run of w hashes (sparse-table doubling)."""
+    """Position in each run of w hashes of the smallest upper half, the leftmost if several."""
+    x = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
     n = len(h) - w + 1
-    idx = np.arange(len(h))
     k = 1
     while k * 2 <= w:
-        a, b = idx[:len(idx) - k], idx[k:]
-        idx = np.where(h[b] < h[a], b, a)
+        x = np.minimum(x[:len(x) - k], x[k:])
         k *= 2
-    a, b = idx[:n], idx[w - k:w - k + n]
-    return np.where(h[b] < h[a], b, a)
+    return (np.minimum(x[:n], x[w - k:w - k + n]) & LOW).astype(np.int64)
 
 
 def words(text: str) -> list[str]:
@@ -90,7 +103,7 @@ def regions(sym: np.ndarray, length: int):
     """Per run of windows that share a sampled short window: first and last window start,
     the short window's hash and the hash of all text that the run's windows cover."""
     short = length // 2
-    h, w = windows(sym, short), windows(sym, length)
+    h, w = windows_of(sym, short, length)
     at = argmins(h, length - short + 1)
     cut = np.flatnonzero(np.diff(at)) + 1
     a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
