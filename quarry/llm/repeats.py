@@ -22,7 +22,7 @@ from .common import distinct_texts, materialize, release, text_key
 from .lyndon import suffix_order
 
 GOLD, DOUBLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BLOCK = 2048
+BLOCK, SLICE = 2048, 2_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -151,7 +151,7 @@ def sorted_windows(asked: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["h", "region", "n", "body"])
 
     def classes(batches):
-        for pdf in batches:
+        for pdf in (big.iloc[i:i + SLICE] for big in batches for i in range(0, len(big), SLICE)):
             size = pdf.body.map(len).to_numpy() + 1
             stop = np.cumsum(size)
             last = np.append(np.diff((stop - 1) // BLOCK) > 0, True)  # regions that end a block
