@@ -29,6 +29,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner delete shuffle files of ended queries
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     _tables[path] = path

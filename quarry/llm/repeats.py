@@ -128,7 +128,7 @@ def hashed_windows(asked: DataFrame, length: int) -> DataFrame:
                     out.append(np.c_[np.full(m, r[k]), np.arange(m) if n == 1 else np.full(m, -1), w[a[k]:b[k] + 1], np.full(m, n)])
             if out:
                 yield pd.DataFrame(np.concatenate(out), columns=["region", "off", "w", "n"])
-    return asked.mapInPandas(full, "region long, off long, w long, n long")
+    return materialize(asked.mapInPandas(full, "region long, off long, w long, n long"))
 
 
 def sorted_windows(asked: DataFrame, length: int) -> DataFrame:
@@ -173,8 +173,10 @@ def sorted_windows(asked: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame({"region": pdf.region.to_numpy()[row], "off": np.where(n == 1, off, -1), "w": w, "n": total})[keep]
 
     dealt = materialize(asked.mapInPandas(bodies, "h long, region long, n long, body binary"))
-    dealt = dealt.repartitionByRange("h", "region").sortWithinPartitions("h", "region")
-    return dealt.mapInPandas(classes, "region long, off long, w long, n long")
+    in_order = dealt.repartitionByRange("h", "region").sortWithinPartitions("h", "region")
+    out = materialize(in_order.mapInPandas(classes, "region long, off long, w long, n long"))
+    release(dealt)
+    return out
 
 
 def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
@@ -206,7 +208,7 @@ def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     asked = reg.where("more").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list("n").alias("ns"))
 
     asked = texts.select("id", "text").join(asked, "id").select("text", "rs", "ns")
-    level2 = materialize(sorted_windows(asked, length) if unit == "byte" else hashed_windows(asked, length))
+    level2 = sorted_windows(asked, length) if unit == "byte" else hashed_windows(asked, length)
     again = level2.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
     some = level2.where("off >= 0").join(again, "w").groupBy("region").agg(F.collect_set("off").alias("offs"))
     hit = reg.where("n > 1").select("region").distinct().withColumn("offs", F.lit(None).cast("array<long>")).unionByName(some)
