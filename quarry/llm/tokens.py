@@ -30,8 +30,8 @@ def load(path: str):
 
 def _cuts(enc, base):
     """Character position -> index of the token that starts a word there."""
-    w = enc.word_ids
-    return {enc.offsets[i][0] + base: i for i in range(len(w)) if i == 0 or w[i] != w[i - 1]}
+    w, at = enc.word_ids, enc.offsets  # each read copies the whole list
+    return {at[i][0] + base: i for i in range(len(w)) if i == 0 or w[i] != w[i - 1]}
 
 
 def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -69,7 +69,7 @@ def encode_texts(tok, texts) -> list[list[int]]:
     texts = [t or "" for t in texts]
     short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
     out = [None] * len(texts)
-    for i, e in zip(short, tok.encode_batch([texts[i] for i in short], add_special_tokens=False)):
+    for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
         out[i] = e.ids
     return [encode_long(tok, t) if o is None else o for t, o in zip(texts, out)]
 
