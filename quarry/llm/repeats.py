@@ -212,7 +212,11 @@ def mark(docs: DataFrame, length: int, unit: str) -> DataFrame:
     again = level2.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
     some = level2.where("off >= 0").join(again, "w").groupBy("region").agg(F.collect_set("off").alias("offs"))
     hit = reg.where("n > 1").select("region").distinct().withColumn("offs", F.lit(None).cast("array<long>")).unionByName(some)
+    hit = materialize(hit)
+    release(level2, reg)
     hits = live.select("id", "region").join(hit, "region").groupBy("id").agg(F.collect_list("region").alias("rs"), F.collect_list(F.coalesce("offs", F.array().cast("array<long>"))).alias("os"))
+    hits = materialize(hits)
+    release(live, hit)
 
     def cover(batches):
         for pdf in batches:
