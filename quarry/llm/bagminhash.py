@@ -10,7 +10,11 @@ later than all parts, which is early for all but the first shingles of a text.
 Bands of the signature give candidates. In every band the texts of one bucket are tied
 to the bucket's smallest key (a star, not all pairs) and the exact similarity is checked;
 the texts that a star rejects form a smaller bucket, and so on until none is left or no
-bucket has two. Classes are the connected components of verified links.
+bucket has two. A pair that a center pulls apart (it matches b and rejects c) is checked
+too, unless b and c are in one class by other links or the triangle inequality of the
+distance (1 - similarity, a metric) rules it out: d(b, c) >= d(a, c) - d(a, b). So every
+pair of a bucket is verified, in one class or proven less similar. Classes are the
+connected components of verified links.
 
 Defined cases: equal texts are one text and share a class; a text with fewer than five
 words has one shingle, its words; null and empty texts have no shingle and equal each
@@ -28,6 +32,9 @@ from .repeats import mix, windows, word_symbols
 
 BANDS, ROWS, WORDS, SIMILARITY = 28, 5, 5, 0.8
 PARTS = BANDS * ROWS
+#: Under this similarity to a center no text is near another one that matches the center.
+REACH = 2 * SIMILARITY - 1 - 1e-9
+SLICES = (1, 4, 16)  # parts of 16 of a star's members that a rejected text meets by round
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,18 +100,29 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays with repeats."""
+    """Weighted Jaccard of two sorted arrays with repeats; 0 where it is surely below REACH."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) == 0 or len(a) < SIMILARITY * len(b):
+    if len(b) == 0 or len(a) < REACH * len(b):
         return 0.0
     rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
     both = int((np.searchsorted(b, a, "left") + rank < np.searchsorted(b, a, "right")).sum())
     return both / (len(a) + len(b) - both)
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, between keys of different texts (key, text)."""
+def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """a, b, sim of pairs (a, b) by the bags (key, bag)."""
+    @F.pandas_udf("double")
+    def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)], dtype=float)
+
+    bag = lambda k, v: bags.select(F.col("key").alias(k), F.col("bag").alias(v))
+    return pairs.join(bag("a", "x"), "a").join(bag("b", "y"), "b").select("a", "b", likeness("x", "y").alias("sim"))
+
+
+def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), a < b, between keys of different texts (key, text), and
+    their components (node, root)."""
     def sign(batches):
         for big in batches:
             for i in range(0, len(big), 256):
@@ -120,29 +138,66 @@ def links(texts: DataFrame) -> DataFrame:
     busy = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
     open_ = materialize(left.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= SIMILARITY for p, q in zip(x, y)])
-
-    found, bags = [], None
+    found, apart, bags = [], [], None
     while not open_.isEmpty():
         ids = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         was, bags = bags, materialize((signed.select("key", "bag") if bags is None else bags).join(ids, "key", "left_semi"))
         if was is not None:
             release(was)
-        pairs = open_.select("a", "b").distinct()
-        pairs = pairs.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("key").alias("b"), F.col("bag").alias("y")), "b")
-        checked = materialize(pairs.select("a", "b", near("x", "y").alias("ok")))
+        checked = materialize(with_likeness(open_.select("a", "b").distinct(), bags))
         found.append(checked)
-        rest = materialize(open_.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("band", F.col("b").alias("key")))
+        was, open_ = open_, materialize(open_.join(checked, ["a", "b"]).select("band", "a", "b", "sim"))
+        release(was)
+        # what a star matched stays where the star rejected a text within reach of it
+        lost = open_.where((F.col("sim") < SIMILARITY) & (F.col("sim") >= REACH))
+        apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost)))
+        rest = open_.where(F.col("sim") < SIMILARITY).select("band", F.col("b").alias("key"))
         busy = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
         was, open_ = open_, materialize(rest.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
-        release(was, rest)
-    release(signed, *([bags] if bags is not None else []))
+        release(was)
+    if bags is not None:
+        release(bags)
     out = open_.select("a", "b")
     for c in found:
-        out = out.unionByName(c.where("ok").select("a", "b"))
-    return out.distinct()
+        out = out.unionByName(c.where(F.col("sim") >= SIMILARITY).select("a", "b"))
+    out = materialize(out.distinct())
+    root = components(out)
+    more = across(apart, root, signed) if apart else None
+    release(signed, *found, *apart)
+    if more is not None and not more.isEmpty():
+        out = materialize(out.unionByName(more).distinct())
+        root = components(out)
+    return out, root
+
+
+def across(apart: list[DataFrame], root: DataFrame, signed: DataFrame) -> DataFrame:
+    """Verified links (a, b) between texts that a center rejected and those that it matched.
+    A rejected text leaves once it is linked to the center's class."""
+    both = apart[0]
+    for x in apart[1:]:
+        both = both.unionByName(x)
+    lost = both.where(F.col("sim") < SIMILARITY).select("band", "a", F.col("b").alias("c"), F.col("sim").alias("low"))
+    cls = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    lost = lost.join(cls("a"), "a").join(cls("c"), "c", "left").where("not a_root <=> c_root").drop("c_root")
+    lost = materialize(lost)
+    # d(a, c) - d(a, b) <= 1 - SIMILARITY
+    kept = both.where(F.col("sim") >= SIMILARITY).select("band", "a", "b", "sim", F.pmod(F.xxhash64("b"), F.lit(SLICES[-1])).alias("slice"))
+    out, done, low, used = None, None, 0, [lost]
+    for high in SLICES:
+        todo = lost if done is None else lost.join(done, ["c", "a_root"], "left_anti")
+        pairs = todo.join(kept.where(F.col("slice").between(low, high - 1)), ["band", "a"]).where(F.col("sim") - F.col("low") <= 1 - SIMILARITY + 1e-9)
+        pairs = materialize(pairs.select("b", "c", "a_root").distinct())
+        used.append(pairs)
+        ends = pairs.select(F.explode(F.array("b", "c")).alias("key")).distinct()
+        seen = with_likeness(pairs.select(F.col("b").alias("a"), F.col("c").alias("b")).distinct(), signed.select("key", "bag").join(ends, "key", "left_semi"))
+        good = materialize(seen.where(F.col("sim") >= SIMILARITY).select(F.col("a"), F.col("b")))
+        now = good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = now if out is None else out.unionByName(now)
+        linked = pairs.join(good.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("c", "a_root")
+        done = linked.distinct() if done is None else done.unionByName(linked).distinct()
+        low = high
+    release(*used)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,11 +227,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """key, class_key, n_links, copies per different text; n_links counts its verified star links."""
+    """key, class_key, n_links, copies per different text; n_links counts its verified links."""
     texts = distinct_texts(docs)
     texts = materialize(texts)
-    e = materialize(links(texts))
-    root = components(e)
+    e, root = links(texts)
     degree = e.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     out = materialize(texts.select("key", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
                        .select("key", "copies", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))

@@ -65,3 +65,28 @@ def test_packing(spark):
         assert words[b] <= cap[b] and all(c >= cap[b] or c < words[b] for c in P.CAPACITIES)
     assert sum(words.values()) / sum(cap.values()) > 0.9
     assert P.pack_documents(df.limit(0)).count() == 0
+
+
+def test_edits_of_edits_in_a_large_group(spark):
+    """A text whose near texts leave every bucket with a center that matches them alone."""
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rnd.choice(words) for _ in range(300)]
+
+    def edit(t, k):
+        t = list(t)
+        for i in rnd.sample(range(len(t)), k):
+            t[i] = rnd.choice(words)
+        return t
+
+    near = [edit(base, 2) for _ in range(400)]
+    texts = [" ".join(t) for t in near] + [" ".join(edit(near[0], 6))]
+    bags, root = [bag(t) for t in texts], list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i) if i >= 400 else [0]:
+            if i != j and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r._class for r in B.with_class(df, "doc_id").collect()} == {i: find(i) for i in range(len(texts))}
