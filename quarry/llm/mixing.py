@@ -1,11 +1,13 @@
 """Time-varying curriculum mixing, in DataFrame functions alone (op6).
 
-Every source has a linear weight schedule; its integral up to time t is the source's
-cumulative demand, and inverting that at a document's place within its source gives
-the document's training position. Documents are then range-sorted by position.
+A source is read in the order of a hash of its rows, round after round, until the words
+read reach its target; a document is read whole, and the last one only if at least half
+of it lies before the target (a source's first document always), so the words of the
+copies miss the target by one document at most.
+Words before a document are summed in two levels, over RANGES ranges of the hash.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source of
-its own, last in order; repeated rows mix separately; an empty table gives no rows.
+its own, last in order; repeated rows follow one another; an empty table gives no rows.
 The table of sources has one row per source; it is broadcast only under MAX_SOURCES.
 """
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import WORD, documents, materialize
 
 MAX_SOURCES = 100_000
+RANGES = 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (0.6, 0.0, -0.6)
 
@@ -36,26 +39,32 @@ def source_targets(sized: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, cap: float = 3.0, keep: tuple = ("doc_id",)) -> DataFrame:
-    """`keep` plus size, source_size, target, taken, copies, position. `copies` is the number of
-    whole repeats whose expectation is taken/size; both round by a hash of the row."""
+    """`keep` plus size, source_size, target, slope, before, copies, taken, position. `before`
+    is the words of the source ahead of the row, `copies` the whole repeats of the row, `taken`
+    their words and `position` the place of the first."""
     cols = list(dict.fromkeys([*keep, "source"]))
     sized = docs.select(*cols, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                         F.xxhash64("doc_id", "text").alias("_h"))
     if set(keep) <= {"doc_id"}:
         sized = materialize(sized)
-    t = materialize(source_targets(sized.select("source", "size"), cap)).withColumnRenamed("source", "_source")
+    sized = sized.withColumn("_range", F.pmod("_h", F.lit(RANGES)))
+    per = materialize(sized.groupBy("source", "_range").agg(F.sum("size").alias("size")))
+    t = materialize(source_targets(per.select("source", "size"), cap)).withColumnRenamed("source", "_source")
+    ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    r = per.select(F.col("source").alias("_of"), F.col("_range").alias("_r"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_ahead"))
     if t.count() <= MAX_SOURCES:
         t = F.broadcast(t)
-    u = lambda k: (F.pmod(F.xxhash64("_h", F.lit(k)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     j = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    want = ratio * F.col("size")
-    j = j.withColumn("taken", F.least(F.floor(want + u(1)), F.lit(int(cap)) * F.col("size")).cast("long"))
-    j = j.withColumn("copies", F.floor(ratio + u(2)).cast("int"))
-    a, q = F.col("slope"), u(3)
+    j = j.join(r, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_r"))).drop("_of", "_r")
+    within = Window.partitionBy("source", "_range").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    j = j.withColumn("before", F.col("_ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rounds = F.ceil((F.col("target") - F.col("before") - F.col("size") / 2) / F.col("source_size"))
+    first = F.when((F.col("before") == 0) & (F.col("size") > 0), 1).otherwise(0)
+    j = j.withColumn("copies", F.when(F.col("target") > 0, F.greatest(first, rounds)).otherwise(0).cast("int"))
+    j = j.withColumn("taken", F.col("copies") * F.col("size"))
+    a, q = F.col("slope"), F.pmod(F.xxhash64("_h", F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     inv = ((a - 1) + F.sqrt((1 - a) * (1 - a) + 4 * a * q)) / (2 * a)
-    j = j.withColumn("position", F.when(a == 0, q).otherwise(inv))
-    return j.drop("_h", "slope")
+    return j.withColumn("position", F.when(a == 0, q).otherwise(inv)).drop("_h", "_range", "_ahead")
 
 
 def op6_curriculum_mix(spark, sf_dir):

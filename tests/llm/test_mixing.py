@@ -32,3 +32,15 @@ def test_targets_and_taken(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def mixed(spark):
+    rows = [(i, "w " * (5000 if s == "a" else 10 + i % 90), s) for i, s in enumerate(["a"] * 3 + ["b"] * 500 + ["c"] * 40 + [None] * 60)] + [(700, "w " * 50, "c")] * 4
+    r = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), keep=("doc_id", "source")).collect()
+    return {s: [x for x in r if x.source == s] for s in {x.source for x in r}}
+
+
+def test_copies_meet_targets(spark):
+    for mine in mixed(spark).values():
+        assert all(x.taken == x.copies * x["size"] and 0 <= x.copies <= 3 for x in mine)
+        assert abs(sum(x.copies * x["size"] for x in mine) - mine[0].target) <= max(x["size"] for x in mine)
