@@ -37,7 +37,8 @@ def mix_sources(spark, docs, sf_dir):
     """Whole copies of documents as their sources' targets ask, range-sorted by training position."""
     release_all(spark)
     m = mixing.mix(docs, keep=tuple(docs.columns)).where("copies > 0")
-    return m.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).orderBy("position", "doc_id", "_copy").select(docs.columns)
+    m = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("position", mixing.position(F.col("_copy")))
+    return m.orderBy("position", "doc_id", "_copy").select(docs.columns)
 
 
 def pack_best_fit(spark, docs, sf_dir):

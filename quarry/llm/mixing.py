@@ -3,7 +3,9 @@
 A source is read in the order of a hash of its rows, round after round, until the words
 read reach its target; a document is read whole, and the last one only if at least half
 of it lies before the target (a source's first document always), so the words of the
-copies miss the target by one document at most.
+copies miss the target by one document at most. Every source has a linear weight
+schedule; its integral up to time t is the source's cumulative demand, and inverting
+that at the words read before the middle of a copy gives the copy's training position.
 Words before a document are summed in two levels, over RANGES ranges of the hash.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source of
@@ -38,6 +40,14 @@ def source_targets(sized: DataFrame, cap: float = 3.0) -> DataFrame:
         F.least(F.lit(cap) * F.col("source_size"), F.coalesce(F.col("lam0") * F.col("w"), F.lit(cap) * F.col("source_size")))).alias("target"), "slope")
 
 
+def position(copy):
+    """Training position of a row's copy (from 1) by the columns of `mix`."""
+    words = (copy - 1) * F.col("source_size") + F.col("before") + F.col("size") / 2
+    q = F.when(F.col("target") > 0, F.least(F.lit(1.0), words / F.col("target"))).otherwise(0.0)
+    a = F.col("slope")
+    return F.when(a == 0, q).otherwise(((a - 1) + F.sqrt((1 - a) * (1 - a) + 4 * a * q)) / (2 * a))
+
+
 def mix(docs: DataFrame, cap: float = 3.0, keep: tuple = ("doc_id",)) -> DataFrame:
     """`keep` plus size, source_size, target, slope, before, copies, taken, position. `before`
     is the words of the source ahead of the row, `copies` the whole repeats of the row, `taken`
@@ -62,9 +72,7 @@ def mix(docs: DataFrame, cap: float = 3.0, keep: tuple = ("doc_id",)) -> DataFra
     first = F.when((F.col("before") == 0) & (F.col("size") > 0), 1).otherwise(0)
     j = j.withColumn("copies", F.when(F.col("target") > 0, F.greatest(first, rounds)).otherwise(0).cast("int"))
     j = j.withColumn("taken", F.col("copies") * F.col("size"))
-    a, q = F.col("slope"), F.pmod(F.xxhash64("_h", F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    inv = ((a - 1) + F.sqrt((1 - a) * (1 - a) + 4 * a * q)) / (2 * a)
-    return j.withColumn("position", F.when(a == 0, q).otherwise(inv)).drop("_h", "_range", "_ahead")
+    return j.withColumn("position", position(F.lit(1))).drop("_h", "_range", "_ahead")
 
 
 def op6_curriculum_mix(spark, sf_dir):

@@ -44,3 +44,15 @@ def test_copies_meet_targets(spark):
     for mine in mixed(spark).values():
         assert all(x.taken == x.copies * x["size"] and 0 <= x.copies <= 3 for x in mine)
         assert abs(sum(x.copies * x["size"] for x in mine) - mine[0].target) <= max(x["size"] for x in mine)
+
+
+def test_positions_follow_cumulative_words(spark):
+    """The words of copies up to position t are the integral of the schedule up to t."""
+    for mine in mixed(spark).values():
+        total, big, a = mine[0].target, max(x["size"] for x in mine), mine[0].slope
+        at = 0
+        for x in sorted((x for x in mine if x.copies), key=lambda x: x.position):
+            place = (1 - a) * x.position + a * x.position ** 2
+            assert abs(place * total - at) <= big
+            at += x["size"]
+        assert len({x.position for x in mine if x.doc_id == 700 and x.copies}) == sum(x.doc_id == 700 and x.copies > 0 for x in mine)
