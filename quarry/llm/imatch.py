@@ -1,9 +1,10 @@
 """I-Match fingerprints in DataFrame functions alone (op8).
 
 Terms within a band of document frequencies form the lexicon; each of K randomised
-subsets keeps a share of it. A part of the fingerprint is the hash of the sorted
-distinct terms of a text that lie in one subset; it is built as an order-free sum of
-term hashes, which equals hashing the sorted set and combines on the map side.
+orders of it gives a subset per text: the terms up to the text's first in that order. So
+a part of the fingerprint hashes one lexicon term, whatever the text's length, and two
+texts share a part with the probability of the Jaccard similarity of their lexicon terms.
+It is built as a minimum of term hashes, which combines on the map side.
 The lexicon has at most (mean distinct terms per text) / LOW terms whatever the input.
 
 Defined cases: null is the empty text, with an empty fingerprint; two texts without any
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import documents, materialize
 
-PARTS, SHARE, LOW, HIGH = 24, 8, 0.001, 0.3
+PARTS, LOW, HIGH = 24, 0.001, 0.3
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -42,14 +43,14 @@ def parts(terms: DataFrame, n_texts: int) -> DataFrame:
     size_bound = 4_000_000
     lex = F.broadcast(lexicon) if lexicon.count() <= size_bound else lexicon
     hits = terms.select("row", "kind", F.explode("h").alias("t")).join(lex, "t", "left_semi")
-    agg = [F.sum(F.when(F.pmod(F.xxhash64("t", F.lit(k)), F.lit(SHARE)) == 0, F.shiftright(F.xxhash64(F.lit(k), "t"), 20)).otherwise(0)).alias(f"p{k}") for k in range(PARTS)]
+    agg = [F.min(F.xxhash64(F.lit(k), "t")).alias(f"p{k}") for k in range(PARTS)]
     return hits.groupBy("row", "kind").agg(*agg).select("row", "kind", F.array(*[f"p{k}" for k in range(PARTS)]).alias("parts"))
 
 
-def likeness(a, b):
+def likeness(a, b, both_empty):
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda z: z))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) & (x == y)), lambda z: z))
-    return F.when(used == 0, 1.0).otherwise(same / used)
+    return F.when(used == 0, both_empty.cast("double")).otherwise(same / used)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -61,14 +62,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     terms = d.select("row", F.lit(0).alias("kind"), F.col("h0").alias("h")).unionByName(d.select("row", F.lit(1).alias("kind"), F.col("h1").alias("h")))
     p = parts(terms, d.count()).groupBy("row").agg(*[F.max(F.when(F.col("kind") == k, F.col("parts"))).alias(f"p{k}") for k in (0, 1)])
     zero = F.array_repeat(F.lit(0).cast("long"), PARTS)
-    r = materialize(d.drop("h0", "h1").join(p, "row", "left").withColumns({k: F.coalesce(k, zero) for k in ("p0", "p1")}))
-    first = r.groupBy("part").agg(F.min_by("p0", "row").alias("head"))
+    r = materialize(d.select("*", *[(F.size(f"h{k}") == 0).alias(f"e{k}") for k in (0, 1)]).drop("h0", "h1").join(p, "row", "left").withColumns({k: F.coalesce(k, zero) for k in ("p0", "p1")}))
+    first = r.groupBy("part").agg(F.min_by(F.struct("p0", "e0"), "row").alias("head"))
     w = Window.orderBy("part")
     nxt = first.select("part", F.coalesce(F.lead("head").over(w), F.first("head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
-    r = r.withColumn("lead", F.lead("p0").over(Window.partitionBy("part").orderBy("row"))).join(nxt, "part")
+    r = r.withColumn("lead", F.lead(F.struct("p0", "e0")).over(Window.partitionBy("part").orderBy("row"))).join(nxt, "part").withColumn("next", F.coalesce("lead", "head"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.hex(x))), "-")
     return r.select("doc_id", "n_chars", "edited_sha256", text("p0").alias("fingerprint"), text("p1").alias("edited_fingerprint"),
-                    likeness(F.col("p0"), F.col("p1")).alias("near_edited"), likeness(F.col("p0"), F.coalesce("lead", "head")).alias("near_next"))
+                    likeness(F.col("p0"), F.col("p1"), F.col("e0") & F.col("e1")).alias("near_edited"), likeness(F.col("p0"), F.col("next.p0"), F.col("e0") & F.col("next.e0")).alias("near_next"))
 
 
 def op8_imatch(spark, sf_dir):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from quarry.llm import imatch, toxicity as X
 
@@ -39,3 +40,14 @@ def test_imatch(spark):
         assert 0 <= r[i * 2].near_edited <= 1
     assert r[124].fingerprint == r[126].fingerprint and r[124].near_next == 1
     assert imatch.fingerprints(df.limit(0)).count() == 0
+
+
+def test_imatch_long_and_unlike_texts(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rnd.sample(words, 300)) for _ in range(60)] + [f"only{i}" for i in range(4)] + [None, ""]
+    r = {x.doc_id: x for x in imatch.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    edited = [r[i].near_edited for i in range(59)]
+    assert min(edited) > 0.2 and sum(edited) / 59 > 0.4
+    assert sum(r[i].near_next for i in range(59)) / 59 < 0.2
+    assert [r[i].near_next for i in (60, 61, 62, 63)] == [0] * 4 and r[64].near_next == 1
