@@ -7,54 +7,76 @@ keeps the earliest point that counts, so two parts agree with probability equal
 weighted Jaccard similarity. Points are drawn in order of time and stop once they are
 later than all parts, which is early for all but the first shingles of a text.
 
-Bands of the signature give candidates. In every band the texts of one bucket are tied
-to the bucket's smallest key (a star, not all pairs) and the exact similarity is checked;
-the texts that a star rejects form a smaller bucket, and so on until none is left or no
-bucket has two. A pair that a center pulls apart (it matches b and rejects c) is checked
-too, unless b and c are in one class by other links or the triangle inequality of the
-distance (1 - similarity, a metric) rules it out: d(b, c) >= d(a, c) - d(a, b). So every
-pair of a bucket is verified, in one class or proven less similar. Classes are the
-connected components of verified links.
+Signing reads the documents where they lie and keeps the bands alone; texts move once
+more, for the bags of those that share a bucket. Different texts get an 8-byte id.
+
+Bands of the signature give candidates. In every round a bucket has a few centers (its
+smallest ids, CENTERS by round); members are compared with them, not with each other,
+and the exact similarity is checked. Members that no center matches form the next
+round's bucket, until none has two. A pair that a center pulls apart (it matches b and
+rejects c) is checked too, unless b and c are in one class by other links or the triangle
+inequality of the distance (1 - similarity, a metric) rules it out:
+d(b, c) >= d(a, c) - d(a, b). So every pair of a bucket is verified, in one class or
+proven less similar. Classes are the connected components of verified links.
+
+A center's bag is sent once per DEAL of its pairs, so a center of very many members is
+spread over tasks.
 
 Defined cases: equal texts are one text and share a class; a text with fewer than five
 words has one shingle, its words; null and empty texts have no shingle and equal each
-other alone; repeated rows are copies; other columns are kept apart; empty tables give
+other alone; repeated rows are copies; null doc_ids come last where a class takes its
+smallest doc_id; other columns are carried whole and may have any name; empty tables give
 no rows.
 """
-import hashlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import distinct_texts, documents, materialize, release, text_key
-from .repeats import mix, windows, word_symbols
+from .common import by_size, documents, materialize, release, row_hash, text_key, whole_row
+from .repeats import mix, step, symbols_of, words
 
 BANDS, ROWS, WORDS, SIMILARITY = 28, 5, 5, 0.8
 PARTS = BANDS * ROWS
 #: Under this similarity to a center no text is near another one that matches the center.
 REACH = 2 * SIMILARITY - 1 - 1e-9
+CENTERS = (1, 8, 64)  # centers of a bucket by round; the last number stays
+DEAL = 256
 SLICES = (1, 4, 16)  # parts of 16 of a star's members that a rejected text meets by round
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted hashes of the shingles, with repeats."""
-    s = word_symbols(text or "")
-    if not len(s):
-        return np.empty(0, np.uint64)
-    return np.sort(windows(s, min(WORDS, len(s))))
+def bags_of(texts) -> list[np.ndarray]:
+    """Sorted hashes of the shingles, with repeats, of each text."""
+    ws = [words(t) if t else [] for t in texts]
+    n = np.array([len(w) for w in ws], np.int64)
+    sym = symbols_of([x for w in ws for x in w])
+    with np.errstate(over="ignore"):
+        h = sym
+        for k in range(1, WORDS):
+            h = step(h[:max(0, len(h) - 1)], GOLD, sym[k:])
+        h = mix(h)
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= WORDS:
+            out.append(np.sort(h[at:at + k - WORDS + 1]))
+        elif k:
+            with np.errstate(over="ignore"):
+                x = sym[at:at + 1]
+                for i in range(1, k):
+                    x = step(x, GOLD, sym[at + i:at + i + 1])
+                out.append(mix(x + np.uint64(k)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += k
+    return out
 
 
 def signatures(bags: list[np.ndarray]) -> np.ndarray:
-    """One signature (PARTS values) per multiset; an empty one has all zeros."""
-    owner, el, wt = [], [], []
-    for i, b in enumerate(bags):
-        u, c = np.unique(b, return_counts=True)
-        owner.append(np.full(len(u), i))
-        el.append(u)
-        wt.append(c)
-    owner, el, wt = np.concatenate(owner), np.concatenate(el), np.concatenate(wt)
+    """One signature (PARTS values) per sorted multiset; an empty one has all zeros."""
+    flat = np.concatenate(bags) if bags else np.empty(0, np.uint64)
+    who = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    head = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (who[1:] != who[:-1])])) if len(flat) else np.empty(0, np.int64)
+    owner, el, wt = who[head], flat[head], np.diff(np.append(head, len(flat)))
     best = np.full(len(bags) * PARTS, np.inf)
     value = np.zeros(len(bags) * PARTS, np.uint64)
     lo, hi, level = 0, 1, 0
@@ -65,26 +87,27 @@ def signatures(bags: list[np.ndarray]) -> np.ndarray:
             state = mix(el[on] + GOLD * np.uint64(level + 1))
             t = np.zeros(len(on))
             limit = best.reshape(-1, PARTS).max(1)
-            r = 0
             while len(o):
-                r += 1
                 state = mix(state + GOLD)
                 t = t - np.log(((state >> np.uint64(11)).astype(np.float64) + 1) * 2.0 ** -53) / (hi - lo)
                 ok = t < limit[o]
-                o, w, state, t = o[ok], w[ok], state[ok], t[ok]
+                if not ok.all():
+                    o, w, state, t = o[ok], w[ok], state[ok], t[ok]
                 if not len(o):
                     break
                 x = mix(state ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                place = lo + (hi - lo) * ((mix(x + GOLD) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53)
-                hit = place < w
-                slot = o[hit] * PARTS + (x[hit] % np.uint64(PARTS)).astype(np.int64)
-                th, sh = t[hit], x[hit]
-                order = np.argsort(-th, kind="stable")
-                slot, th, sh = slot[order], th[order], sh[order]
+                if hi - lo == 1:  # weights are whole: all of a unit interval counts
+                    slot, th, sh = o * PARTS + (x % np.uint64(PARTS)).astype(np.int64), t, x
+                else:
+                    place = lo + (hi - lo) * ((mix(x + GOLD) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53)
+                    hit = place < w
+                    slot, th, sh = o[hit] * PARTS + (x[hit] % np.uint64(PARTS)).astype(np.int64), t[hit], x[hit]
                 better = th < best[slot]
                 slot, th, sh = slot[better], th[better], sh[better]
-                best[slot], value[slot] = th, sh  # ascending times last: the earliest stays
-                touched = np.unique(slot // PARTS)
+                np.minimum.at(best, slot, th)
+                won = th == best[slot]
+                value[slot[won]] = sh[won]
+                touched = np.unique(slot[won] // PARTS)
                 limit[touched] = best.reshape(-1, PARTS)[touched].max(1)
             lo, hi, level = hi, hi * 2, level + 1
     return value.reshape(-1, PARTS)
@@ -105,45 +128,105 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
         a, b = b, a
     if len(b) == 0 or len(a) < REACH * len(b):
         return 0.0
+    left = np.searchsorted(b, a, "left")
     rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
-    both = int((np.searchsorted(b, a, "left") + rank < np.searchsorted(b, a, "right")).sum())
+    both = int((left + rank < np.searchsorted(b, a, "right")).sum())
     return both / (len(a) + len(b) - both)
 
 
-def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """a, b, sim of pairs (a, b) by the bags (key, bag)."""
-    @F.pandas_udf("double")
-    def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)], dtype=float)
+def identified(docs: DataFrame) -> DataFrame:
+    """_row (the whole row), key, and last, did, h: the place that orders the rows of a text."""
+    return docs.select(whole_row(docs).alias("_row"), text_key().alias("key"), F.col("doc_id").isNull().alias("last"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("did"), row_hash(docs).alias("h"))
+
 
-    bag = lambda k, v: bags.select(F.col("key").alias(k), F.col("bag").alias(v))
-    return pairs.join(bag("a", "x"), "a").join(bag("b", "y"), "b").select("a", "b", likeness("x", "y").alias("sim"))
+PLACE = ["key", "last", "did", "h"]
 
 
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b), a < b, between keys of different texts (key, text), and
-    their components (node, root)."""
+def signed_texts(docs: DataFrame) -> DataFrame:
+    """id, key, last, did, h (the place of its first row), n_first (rows there), copies, bands: per text."""
     def sign(batches):
         for big in batches:
-            for i in range(0, len(big), 256):
-                pdf = big.iloc[i:i + 256]
-                bags = [shingles(t) for t in pdf.text]
-                full = np.array([len(b) > 0 for b in bags])
-                b = bands(signatures(bags))
-                yield pd.DataFrame({"key": pdf.key, "bag": [x.tobytes() for x in bags], "bands": [r if f else [] for r, f in zip(b.tolist(), full)]})
-
-    signed = materialize(texts.select("key", "text").mapInPandas(sign, "key binary, bag binary, bands array<long>"))
-    left = signed.select("key", F.explode("bands").alias("band"))
-    # only buckets with two texts or more
-    busy = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
-    open_ = materialize(left.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
-
-    found, apart, bags = [], [], None
+            seen = set()
+            for pdf in by_size(big):
+                new = []
+                for i, k in enumerate(pdf.key):
+                    if bytes(k) not in seen:
+                        seen.add(bytes(k))
+                        new.append(i)
+                bags = bags_of([pdf.text.iat[i] for i in new])
+                out = [None] * len(pdf)
+                for i, b, row in zip(new, bags, bands(signatures(bags)) if new else ()):
+                    out[i] = row if len(b) else row[:0]
+                yield pd.DataFrame({**{c: pdf[c] for c in PLACE}, "bands": out})
+
+    rows = identified(docs).select(*PLACE, F.col("_row.text").alias("text")).mapInPandas(sign, "key binary, last boolean, did long, h long, bands array<long>")
+    per = rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"), F.first("bands", True).alias("bands"))
+    t = per.groupBy("key").agg(F.min(F.struct("last", "did", "h", "n")).alias("low"), F.sum("n").alias("copies"), F.first("bands", True).alias("bands"))
+    return materialize(t.select(F.monotonically_increasing_id().alias("id"), "key", "low.last", "low.did", "low.h", F.col("low.n").alias("n_first"), "copies", "bands"))
+
+
+def rows_of(docs: DataFrame, texts: DataFrame, unique: str) -> DataFrame:
+    """`unique` and _row of the one document in the first place of each of `texts`; rows that
+    are repeated in one place count once per `unique`."""
+    pick = lambda part: identified(docs).join(part.select(*PLACE, unique), PLACE).select(unique, "_row")
+    again = texts.where("n_first > 1")
+    if again.isEmpty():
+        return pick(texts)
+    return pick(texts.where("n_first = 1")).unionByName(pick(again).dropDuplicates([unique]))
+
+
+def bags_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, bag of the given texts."""
+    def run(batches):
+        for big in batches:
+            for pdf in by_size(big):
+                yield pd.DataFrame({"id": pdf.id, "bag": [b.tobytes() for b in bags_of(pdf.text)]})
+    return rows_of(docs, texts, "id").select("id", F.col("_row.text").alias("text")).mapInPandas(run, "id long, bag binary")
+
+
+def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """a, b, sim of different pairs (a, b) by the bags (id, bag). The members' bags go to their
+    center, whose own bag comes first."""
+    def run(batches):
+        center, mine = None, None
+        for pdf in batches:
+            keep = []
+            for i, (a, b, s, x) in enumerate(zip(pdf.a, pdf.b, pdf.deal, pdf.bag)):
+                if a == b:
+                    center, mine = np.frombuffer(x, np.uint64), (a, s)
+                elif mine == (a, s):
+                    keep.append((a, b, similarity(center, np.frombuffer(x, np.uint64))))
+                else:
+                    raise ValueError("a center is missing")
+            yield pd.DataFrame(keep, columns=["a", "b", "sim"])
+
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deals"))
+    member = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).alias("deal"))
+    both = member.unionByName(n.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal")))
+    rows = both.join(bags, both.b == bags.id).select("a", "b", "deal", "bag")
+    rows = rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("a") != F.col("b"))
+    return rows.mapInPandas(run, "a long, b long, sim double")
+
+
+def starred(members: DataFrame, centers: int) -> DataFrame:
+    """band, a, b: members (band, id) of buckets with two or more against the bucket's smallest ids."""
+    if centers == 1:
+        top = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select("band", "a")
+    else:
+        # the first ranks are cut before the shuffle
+        top = members.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("id"))).where(F.col("rank") <= centers).select("band", F.col("id").alias("a"))
+    return materialize(members.join(top, "band").where("id > a").select("band", "a", F.col("id").alias("b")))
+
+
+def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), a < b, between ids of different texts, and their components (node, root)."""
+    members = signed.select("id", F.explode("bands").alias("band"))
+    open_ = starred(members, CENTERS[0])
+    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bags = materialize(bags_table(docs, signed.join(ids, "id", "left_semi")))
+    found, apart, r = [], [], 0
     while not open_.isEmpty():
-        ids = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        was, bags = bags, materialize((signed.select("key", "bag") if bags is None else bags).join(ids, "key", "left_semi"))
-        if was is not None:
-            release(was)
         checked = materialize(with_likeness(open_.select("a", "b").distinct(), bags))
         found.append(checked)
         was, open_ = open_, materialize(open_.join(checked, ["a", "b"]).select("band", "a", "b", "sim"))
@@ -151,53 +234,55 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         # what a star matched stays where the star rejected a text within reach of it
         lost = open_.where((F.col("sim") < SIMILARITY) & (F.col("sim") >= REACH))
         apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost)))
-        rest = open_.where(F.col("sim") < SIMILARITY).select("band", F.col("b").alias("key"))
-        busy = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
-        was, open_ = open_, materialize(rest.join(busy, "band").where("key <> a").select("band", "a", F.col("key").alias("b")))
+        # centers have met the whole bucket; so has everyone once all of it were centers
+        rest = open_.groupBy("band", F.col("b").alias("id")).agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
+        rest = rest.where((F.col("most") < SIMILARITY) & (F.col("n") >= CENTERS[r])).select("band", "id")
+        r = min(r + 1, len(CENTERS) - 1)
+        was, open_ = open_, starred(rest, CENTERS[r])
         release(was)
-    if bags is not None:
-        release(bags)
-    out = open_.select("a", "b")
-    for c in found:
-        out = out.unionByName(c.where(F.col("sim") >= SIMILARITY).select("a", "b"))
-    out = materialize(out.distinct())
+    out = materialize(_all(found).where(F.col("sim") >= SIMILARITY).select("a", "b").distinct()) if found else open_.select("a", "b")
     root = components(out)
-    more = across(apart, root, signed) if apart else None
-    release(signed, *found, *apart)
-    if more is not None and not more.isEmpty():
-        out = materialize(out.unionByName(more).distinct())
-        root = components(out)
+    if apart:
+        more = across(apart, root, bags)
+        release(*found, *apart)
+        if not more.isEmpty():
+            out = materialize(out.unionByName(more).distinct())
+            root = components(out)
+    release(bags)
     return out, root
 
 
-def across(apart: list[DataFrame], root: DataFrame, signed: DataFrame) -> DataFrame:
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def across(apart: list[DataFrame], root: DataFrame, bags: DataFrame) -> DataFrame:
     """Verified links (a, b) between texts that a center rejected and those that it matched.
     A rejected text leaves once it is linked to the center's class."""
-    both = apart[0]
-    for x in apart[1:]:
-        both = both.unionByName(x)
+    both = _all(apart)
     lost = both.where(F.col("sim") < SIMILARITY).select("band", "a", F.col("b").alias("c"), F.col("sim").alias("low"))
     cls = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
     lost = lost.join(cls("a"), "a").join(cls("c"), "c", "left").where("not a_root <=> c_root").drop("c_root")
     lost = materialize(lost)
     # d(a, c) - d(a, b) <= 1 - SIMILARITY
     kept = both.where(F.col("sim") >= SIMILARITY).select("band", "a", "b", "sim", F.pmod(F.xxhash64("b"), F.lit(SLICES[-1])).alias("slice"))
-    out, done, low, used = None, None, 0, [lost]
+    out, done, low, used = [], None, 0, [lost]
     for high in SLICES:
         todo = lost if done is None else lost.join(done, ["c", "a_root"], "left_anti")
         pairs = todo.join(kept.where(F.col("slice").between(low, high - 1)), ["band", "a"]).where(F.col("sim") - F.col("low") <= 1 - SIMILARITY + 1e-9)
         pairs = materialize(pairs.select("b", "c", "a_root").distinct())
         used.append(pairs)
-        ends = pairs.select(F.explode(F.array("b", "c")).alias("key")).distinct()
-        seen = with_likeness(pairs.select(F.col("b").alias("a"), F.col("c").alias("b")).distinct(), signed.select("key", "bag").join(ends, "key", "left_semi"))
-        good = materialize(seen.where(F.col("sim") >= SIMILARITY).select(F.col("a"), F.col("b")))
-        now = good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = now if out is None else out.unionByName(now)
-        linked = pairs.join(good.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("c", "a_root")
+        seen = with_likeness(pairs.select(F.col("c").alias("a"), "b").distinct(), bags)
+        good = materialize(seen.where(F.col("sim") >= SIMILARITY).select("a", "b"))
+        out.append(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        linked = pairs.join(good.select(F.col("a").alias("c"), "b"), ["b", "c"]).select("c", "a_root")
         done = linked.distinct() if done is None else done.unionByName(linked).distinct()
         low = high
     release(*used)
-    return out
+    return _all(out)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,26 +312,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """key, class_key, n_links, copies per different text; n_links counts its verified links."""
-    texts = distinct_texts(docs)
-    texts = materialize(texts)
-    e, root = links(texts)
-    degree = e.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    out = materialize(texts.select("key", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-                       .select("key", "copies", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    release(texts, e)
-    return out
+    """Per different text: key, the place of its first row, n_first, copies, class (the id of
+    its class), n_links, class_id (the class's smallest doc_id) and leads: whether it holds the
+    class's first row."""
+    signed = signed_texts(docs)
+    e, root = links(docs, signed)
+    degree = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    m = signed.drop("bands").join(root.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    m = materialize(m.select(*PLACE, "n_first", "copies", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    release(signed)
+    low = m.groupBy("class").agg(F.min(F.struct("last", "did", "key")).alias("low"))
+    return materialize(m.join(low, "class").select(*m.columns, F.when(~F.col("low.last"), F.col("low.did")).alias("class_id"), (F.col("low.key") == F.col("key")).alias("leads")))
+
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """_row (the whole row), class_id (the class's smallest doc_id), n_links of every document."""
+    m = near_classes(docs).select("key", "class_id", "n_links")
+    return docs.select(whole_row(docs).alias("_row"), text_key().alias("key")).join(m, "key").drop("key")
 
 
-def with_class(docs: DataFrame, *cols: str) -> DataFrame:
-    """`cols` of documents with _key, _class (the class's smallest doc_id), _n_links, _class_key."""
-    c = near_classes(docs)
-    ids = docs.select(text_key().alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    m = materialize(c.join(ids, "key"))
-    low = m.groupBy("class_key").agg(F.min("first_id").alias("_class"))
-    m = m.join(low, "class_key").select(F.col("key").alias("_key"), "_class", F.col("n_links").alias("_n_links"), F.col("class_key").alias("_class_key"))
-    return docs.select(*cols, text_key().alias("_key")).join(m, "_key")
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The first row of each class: smallest doc_id, then text key, then hash of the row."""
+    return rows_of(docs, near_classes(docs).where("leads"), "class").select("_row.*")
 
 
 def op3_bagminhash(spark, sf_dir):
-    return with_class(documents(spark, sf_dir), "doc_id").select("doc_id", F.col("_class").alias("class_id"), F.col("_n_links").alias("n_links"))
+    return with_class(documents(spark, sf_dir)).select("_row.doc_id", "class_id", "n_links")

@@ -45,9 +45,9 @@ def test_classes_against_brute_force(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
-    got = {r.doc_id: r._class for r in B.with_class(df, "doc_id").collect()}
+    got = {r._row.doc_id: r.class_id for r in B.with_class(df).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
-    assert B.with_class(df.limit(0), "doc_id").count() == 0
+    assert B.with_class(df.limit(0)).count() == 0 and B.one_of_each(df.limit(0)).count() == 0
 
 
 def test_packing(spark):
@@ -89,4 +89,54 @@ def test_edits_of_edits_in_a_large_group(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r._class for r in B.with_class(df, "doc_id").collect()} == {i: find(i) for i in range(len(texts))}
+    assert {r._row.doc_id: r.class_id for r in B.with_class(df).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_packing_against_all_assignments():
+    """The plan taken costs no more than any single opening capacity, and on tiny sets no more
+    than 1.25 times the best of all assignments."""
+    rnd, caps = random.Random(8), (4, 8, 16)
+    cost = lambda bins: sum(P.cost(min(c for c in caps if c >= u)) for u in bins)
+
+    def best(sizes, bins=()):
+        if not sizes:
+            return cost(bins)
+        s, rest = sizes[0], sizes[1:]
+        ways = [bins[:i] + (b + s,) + bins[i + 1:] for i, b in enumerate(bins) if b + s <= max(caps)] + [bins + (s,)]
+        return min(best(rest, w) for w in ways)
+
+    for _ in range(30):
+        sizes = [rnd.randrange(0, 17) for _ in range(6)]
+        bins, room = P.pack(sizes, caps)
+        used = [sum(s for s, b in zip(sizes, bins) if b == i) for i in range(len(room))]
+        assert all(u <= c and (c == 4 or u > c // 2) for u, c in zip(used, room))
+        mine = sum(map(P.cost, room))
+        assert mine <= 1.25 * best(sizes)
+        assert all(mine <= sum(map(P.cost, P.best_fit(sizes, list(caps), c)[1])) for c in caps)
+
+
+def test_first_row_of_each_class(spark):
+    """Null and repeated doc_ids, rows equal in all columns, and columns named as the operator's own."""
+    a, b = "one two three four five six", "some other text of seven words here"
+    rows = [(None, a, 1, "p"), (4, a, 1, "q"), (2, a, 9, "r"), (2, a, 9, "r"), (2, a, 8, "s"), (7, b, 0, None), (None, None, 3, "x"), (None, None, 3, "x"), (9, "", 3, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, key string").selectExpr("doc_id", "text", "id", "key", "1 AS h", "2 AS last", "3 AS _row", "4 AS band").repartition(4)
+    got = sorted((r.doc_id, r.text, r.id, r.key) for r in B.one_of_each(df).collect())
+    assert len(got) == 3 and got[0][0] == 2 and got[0][1] == a and got[1:] == [(7, b, 0, None), (9, "", 3, "y")]
+    assert got == sorted((r.doc_id, r.text, r.id, r.key) for r in B.one_of_each(df.repartition(2)).collect())
+    assert {(r._row.doc_id, r.class_id) for r in B.with_class(df).collect()} == {(None, 2), (4, 2), (2, 2), (7, 7), (None, 9), (9, 9)}
+
+
+def test_recall_on_random_near_pairs():
+    """Share of pairs at similarity 0.8 or a little more that meet in a bucket."""
+    rnd, met, n = random.Random(9), 0, 0
+    words = [f"w{i}" for i in range(500)]
+    while n < 300:
+        t = [rnd.choice(words) for _ in range(rnd.randrange(60, 300))]
+        u = list(t)
+        for i in rnd.sample(range(len(u)), max(1, len(u) // 50)):
+            u[i] = rnd.choice(words)
+        bags = B.bags_of([" ".join(t), " ".join(u)])
+        if 0.8 <= B.similarity(*bags) < 0.9:
+            x = B.bands(B.signatures(bags))
+            n, met = n + 1, met + bool((x[0] == x[1]).any())
+    assert met / n >= 0.99
