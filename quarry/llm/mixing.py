@@ -9,12 +9,13 @@ that at the words read before the middle of a copy gives the copy's training pos
 Words before a document are summed in two levels, over RANGES ranges of the hash.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source of
-its own, last in order; repeated rows follow one another; an empty table gives no rows.
+its own, last in order; repeated rows follow one another; other columns are carried whole and
+may have any name; an empty table gives no rows.
 The table of sources has one row per source; it is broadcast only under MAX_SOURCES.
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, documents, materialize, whole_row
 
 MAX_SOURCES = 100_000
 RANGES = 256
@@ -48,14 +49,14 @@ def position(copy):
     return F.when(a == 0, q).otherwise(((a - 1) + F.sqrt((1 - a) * (1 - a) + 4 * a * q)) / (2 * a))
 
 
-def mix(docs: DataFrame, cap: float = 3.0, keep: tuple = ("doc_id",)) -> DataFrame:
-    """`keep` plus size, source_size, target, slope, before, copies, taken, position. `before`
-    is the words of the source ahead of the row, `copies` the whole repeats of the row, `taken`
-    their words and `position` the place of the first."""
-    cols = list(dict.fromkeys([*keep, "source"]))
-    sized = docs.select(*cols, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+def mix(docs: DataFrame, cap: float = 3.0, keep: list[str] | None = None) -> DataFrame:
+    """_row (the whole row, or its columns `keep`) plus size, source_size, target, slope, before,
+    copies, taken, position. `before` is the words of the source ahead of the row, `copies` the
+    whole repeats of the row, `taken` their words and `position` the place of the first."""
+    row = whole_row(docs if keep is None else docs.select(*keep))
+    sized = docs.select(row.alias("_row"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                         F.xxhash64("doc_id", "text").alias("_h"))
-    if set(keep) <= {"doc_id"}:
+    if keep is not None and "text" not in keep:
         sized = materialize(sized)
     sized = sized.withColumn("_range", F.pmod("_h", F.lit(RANGES)))
     per = materialize(sized.groupBy("source", "_range").agg(F.sum("size").alias("size")))
@@ -76,5 +77,5 @@ def mix(docs: DataFrame, cap: float = 3.0, keep: tuple = ("doc_id",)) -> DataFra
 
 
 def op6_curriculum_mix(spark, sf_dir):
-    m = mix(documents(spark, sf_dir))
-    return m.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    m = mix(documents(spark, sf_dir), keep=["doc_id"])
+    return m.select("_row.doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")

@@ -17,7 +17,7 @@ def targets(sizes, cap=3):
 
 def test_targets_and_taken(spark):
     rows = [(i, "w " * (i % 7 * 10), s, 1) for i, s in enumerate(["b"] * 400 + ["a"] * 8 + [None] * 60 + ["c"] * 3 + ["d"] * 90)] + [(0, None, "b", 1), (1, "w " * 10, "b", 1)]
-    r = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, size2 int"), keep=("doc_id", "source")).collect()
+    r = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, size2 int"), keep=["doc_id"]).collect()
     assert len(r) == len(rows)
     sizes = {}
     for x in r:
@@ -36,7 +36,7 @@ def test_empty(spark):
 
 def mixed(spark):
     rows = [(i, "w " * (5000 if s == "a" else 10 + i % 90), s) for i, s in enumerate(["a"] * 3 + ["b"] * 500 + ["c"] * 40 + [None] * 60)] + [(700, "w " * 50, "c")] * 4
-    r = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), keep=("doc_id", "source")).collect()
+    r = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
     return {s: [x for x in r if x.source == s] for s in {x.source for x in r}}
 
 
@@ -55,4 +55,14 @@ def test_positions_follow_cumulative_words(spark):
             place = (1 - a) * x.position + a * x.position ** 2
             assert abs(place * total - at) <= big
             at += x["size"]
-        assert len({x.position for x in mine if x.doc_id == 700 and x.copies}) == sum(x.doc_id == 700 and x.copies > 0 for x in mine)
+        assert len({x.position for x in mine if x._row.doc_id == 700 and x.copies}) == sum(x._row.doc_id == 700 and x.copies > 0 for x in mine)
+
+
+def test_other_columns_and_caps(spark):
+    """Columns named as the operator's own, and a cap that is no whole number."""
+    df = spark.createDataFrame([(i, "w " * 10, "a" if i < 4 else "b") for i in range(400)], "doc_id long, text string, source string")
+    df = df.selectExpr("*", "'x' AS size", "1 AS _h", "2 AS copies", "3 AS position", "4 AS _row")
+    r = mix(df, 2.5).collect()
+    a = [x for x in r if x.source == "a"]
+    assert all(x._row["size"] == "x" and x._row.copies == 2 for x in r)
+    assert a[0].target == 100 and sum(x.taken for x in a) == 100 and all(x.taken <= 30 for x in a)
