@@ -1,14 +1,22 @@
 """AVI motion-JPEG columns (op2): bytes as 8-bit grey samples of lossless intra frames.
 
-A payload is laid out in rows of 64 samples and frames of at most 64 rows; each frame is
+A payload is laid out in rows of 64 samples and frames of at most 8 rows; each frame is
 a JPEG of the lossless process (SOF3, left predictor) with one restart interval per row,
 so that rows decode side by side. The frames sit in a RIFF AVI with an idx1 index, read
 back through that index. Shots are found where the histogram difference of neighbouring
-frames exceeds an adaptive threshold (mean and spread of the last frames' differences).
+frames exceeds an adaptive threshold (mean and spread of the last frames' differences, and
+FLOOR at least); padding is in no histogram, and a last frame of less than half its samples
+opens no shot. The feature lists every shot: start and end in seconds and its histogram,
+16 levels as hexadecimal digits of their share (f: a half or more).
+
+Media are columns: `encode_media` gives a table of AVI files that may be written and read
+anywhere, `media_features` and `clips` read such a table. The query joins both in one job.
 
 Defined cases: null and empty texts give 64 zero bytes and one clip; equal texts give
-equal media; repeated rows are encoded again; other columns are ignored; an empty table
-gives no rows.
+equal media; repeated rows are encoded again; media that are null, no AVI, cut off or
+coded otherwise than above (another JPEG process, size or layout) give a row with null
+payload columns and the feature `unreadable`, and no clips; other columns are ignored; an
+empty table gives no rows.
 """
 import hashlib
 import json
@@ -20,9 +28,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents
+from .common import by_size, documents
 
-W, FPS, BINS, LOOKBACK, SPREAD, FLOOR = 64, 25, 16, 12, 3.0, 0.25
+W, HEIGHT, FPS, BINS, LOOKBACK, SPREAD, FLOOR = 64, 8, 25, 16, 12, 3.0, 0.12
 ROW_BYTES = W * 12 // 8 + 4
 RST = re.compile(b"\xff[\xd0-\xd7]")
 
@@ -75,16 +83,16 @@ def jpeg(rows: list[bytes]) -> bytes:
 
 def jpeg_rows(frame: bytes) -> list[bytes]:
     """Walk the markers to the scan and split it at its restart markers."""
-    p = 2
+    p, shape = 2, None
     while True:
         marker, size = frame[p + 1], struct.unpack_from(">H", frame, p + 2)[0]
         if marker == 0xC3:
-            height, width = struct.unpack_from(">HH", frame, p + 5)
+            shape = struct.unpack_from(">BHHB", frame, p + 4)
         p += 2 + size
         if marker == 0xDA:
             break
     rows = RST.split(frame[p:frame.rindex(b"\xff\xd9")])
-    if width != W or len(rows) != height:
+    if shape != (8, len(rows), W, 1) or max(map(len, rows)) > 2 * ROW_BYTES:
         raise ValueError("frame is not of this layout")
     return rows
 
@@ -111,7 +119,7 @@ def avi(frames: list[bytes], height: int, payload: int) -> bytes:
 
 def parse(media: bytes) -> tuple[list[bytes], int]:
     """Frames by the idx1 index, and the payload's length."""
-    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
+    if media is None or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("no AVI")
     p, movi, index, payload = 12, None, None, None
     while p + 8 <= len(media):
@@ -124,6 +132,8 @@ def parse(media: bytes) -> tuple[list[bytes], int]:
         elif tag == b"idx1":
             index = media[p + 8:p + 8 + size]
         p += 8 + size + size % 2
+    if movi is None or not index or len(index) % 16 or payload is None:
+        raise ValueError("no index, frames or payload length")
     return [media[movi + at + 8:movi + at + 8 + n] for _, _, at, n in struct.iter_unpack("<4sIII", index)], payload
 
 
@@ -133,7 +143,7 @@ def pad(text: str | None) -> bytes:
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
-    heights = [min(64, len(p) // W) for p in payloads]
+    heights = [min(HEIGHT, len(p) // W) for p in payloads]
     padded = [p.ljust(-(-len(p) // (W * h)) * W * h, b"\0") for p, h in zip(payloads, heights)]
     rows = encode_rows(np.frombuffer(b"".join(padded), np.uint8).reshape(-1, W))
     out, at = [], 0
@@ -144,63 +154,96 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def decode_many(media: list[bytes]) -> list[tuple[np.ndarray, int]]:
-    """(frames x height x 64 samples, payload length) of each."""
-    parsed = [parse(m) for m in media]
-    split = [[jpeg_rows(f) for f in frames] for frames, _ in parsed]
-    flat = decode_rows([r for fs in split for f in fs for r in f])
+def decode_many(media: list[bytes]) -> list[tuple[np.ndarray, int] | None]:
+    """(frames x height x 64 samples, payload length) of each; None of what is unreadable."""
+    split = []
+    for m in media:
+        try:
+            frames, size = parse(m)
+            rows = [jpeg_rows(f) for f in frames]
+            if len({len(r) for r in rows}) > 1 or not 0 < size <= sum(len(r) for r in rows) * W:
+                raise ValueError("frames differ or do not hold the payload")
+            split.append((rows, size))
+        except (ValueError, IndexError, struct.error):
+            split.append(None)
+    flat = decode_rows([r for x in split if x for f in x[0] for r in f])
     out, at = [], 0
-    for fs, (_, size) in zip(split, parsed):
-        n, h = len(fs), len(fs[0])
-        out.append((flat[at:at + n * h].reshape(n, h, W), size))
+    for x in split:
+        if x is None:
+            out.append(None)
+            continue
+        n, h = len(x[0]), len(x[0][0])
+        out.append((flat[at:at + n * h].reshape(n, h, W), x[1]))
         at += n * h
     return out
 
 
-def shots(frames: np.ndarray) -> list[tuple[int, int]]:
-    """[first, end) frames of each shot."""
-    n = len(frames)
-    bins = (frames.reshape(n, -1) >> 4).astype(np.int64) + BINS * np.arange(n)[:, None]
-    h = np.bincount(bins.ravel(), minlength=n * BINS).reshape(n, BINS) / frames[0].size
+def histograms(frames: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the levels per frame, and its number of samples before the payload's padding."""
+    n, area = len(frames), frames[0].size
+    flat = frames.reshape(-1)
+    end = size
+    while end > max(0, size - W) and flat[end - 1] == 0:
+        end -= 1
+    used = np.clip(end - area * np.arange(n), 0, area)
+    bins = np.bincount((flat[:end] >> 4) + BINS * (np.arange(end) // area), minlength=n * BINS).reshape(n, BINS)
+    return bins / np.maximum(used, 1)[:, None], used
+
+
+def shots(frames: np.ndarray, size: int) -> list[tuple[int, int, str]]:
+    """[first, end) frames and histogram of each shot."""
+    h, used = histograms(frames, size)
+    n, area = len(frames), frames[0].size
     d = np.abs(np.diff(h, axis=0)).sum(1) / 2
     cuts, since = [0], 0
-    for i in range(len(d)):
+    for i in range(len(d) - (used[-1] < area / 2)):
+        if d[i] <= FLOOR:
+            continue
         past = d[max(since, i - LOOKBACK):i]
-        limit = max(FLOOR, past.mean() + SPREAD * past.std()) if len(past) else FLOOR
-        if d[i] > limit:
+        if not len(past) or d[i] > past.mean() + SPREAD * past.std():
             cuts.append(i + 1)
             since = i + 1
-    return list(zip(cuts, [*cuts[1:], n]))
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], n]):
+        share = (h[a:b] * used[a:b, None]).sum(0) / max(1, used[a:b].sum())
+        out.append((a, b, "".join("%x" % x for x in np.minimum(15, np.rint(share * 30)).astype(int))))
+    return out
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media binary."""
     def run(batches):
         for big in batches:
-            for i in range(0, len(big), 256):
-                pdf = big.iloc[i:i + 256]
+            for pdf in by_size(big, rows=256):
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": [len((t or "").encode()) for t in pdf.text], "media": encode_many([pad(t) for t in pdf.text])})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows: doc_id, clip, start_s, end_s."""
+    """Timed clip rows: doc_id, clip, start_s, end_s, levels."""
     def run(batches):
         for pdf in batches:
-            rows = [(d, k, a / FPS, b / FPS) for d, m in zip(pdf.doc_id, pdf.media) for k, (a, b) in enumerate(shots(decode_many([m])[0][0]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "clip", "start_s", "end_s"])
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, clip int, start_s double, end_s double")
+            read = ((d, decode_many([m])[0]) for d, m in zip(pdf.doc_id, pdf.media))
+            rows = [(d, k, a / FPS, b / FPS, h) for d, x in read if x for k, (a, b, h) in enumerate(shots(*x))]
+            yield pd.DataFrame(rows, columns=["doc_id", "clip", "start_s", "end_s", "levels"])
+    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, clip int, start_s double, end_s double, levels string")
 
 
 def media_features(media: DataFrame) -> DataFrame:
+    """The columns of op2_avi from a table (doc_id, n_bytes, media)."""
+    def one(m, read):
+        if read is None:
+            return None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), "unreadable"
+        p = read[0].tobytes()[:read[1]]
+        feature = json.dumps([[a / FPS, b / FPS, h] for a, b, h in shots(*read)])
+        return read[1], hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature
+
     def run(batches):
         for big in batches:
-            for i in range(0, len(big), 256):
-                pdf, rows = big.iloc[i:i + 256], []
-                for d, n, m, (x, size) in zip(pdf.doc_id, pdf.n_bytes, pdf.media, decode_many(list(pdf.media))):
-                    p = x.tobytes()[:size]
-                    rows.append((d, n, size, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), json.dumps([[a / FPS, b / FPS] for a, b in shots(x)])))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for pdf in by_size(big, "media", rows=256):
+                rows = [one(m, x) for m, x in zip(pdf.media, decode_many(list(pdf.media)))]
+                out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], dtype=object)
+                yield pd.concat([pdf[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
     return media.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
