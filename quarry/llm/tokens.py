@@ -5,16 +5,21 @@ chunks share, MARGIN characters away from the earlier chunk's end, is proven sta
 the pre-tokenizer reads left to right, so from there on both see the same text. The
 chunks are spliced there; where none is shared the overlap is doubled.
 
+A stored file is a folder: `book` holds the code (id, length), `parts` the documents (part,
+doc_id, start, n_tokens, bits, checkpoints) in one folder per range of doc_ids, each in
+ascending order. Nothing else is needed to read it. Every block of BLOCK ids starts at a
+checkpoint, a bit offset of 64 bits, so that blocks decode alone.
+
 Defined cases: null is the empty text with no tokens; repeated rows count separately;
 other columns are ignored; an empty table gives no rows.
 """
-import zlib
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, materialize
+from .common import by_size, documents, materialize, release, shared_dir
 
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 32
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
@@ -74,10 +79,6 @@ def encode_texts(tok, texts) -> list[list[int]]:
     return [encode_long(tok, t) if o is None else o for t, o in zip(texts, out)]
 
 
-def slices(pdf, n=64):
-    return (pdf.iloc[i:i + n] for i in range(0, len(pdf), n))
-
-
 def _quiet():
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         _quiet()
         tok = load(path)
         for big in batches:
-            for pdf in slices(big):
+            for pdf in by_size(big, chars=500_000, rows=128):
                 n = [len(x) for x in encode_texts(tok, pdf.text)]
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": [len((t or "").encode()) for t in pdf.text], "n_tokens": n, "over_limit": [x > limit for x in n]})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
@@ -141,14 +142,14 @@ def pack(codes: np.ndarray, lens: np.ndarray):
     v = codes << (24 - lens - (pos & 7))
     for k in range(3):
         np.bitwise_or.at(buf, (pos >> 3) + k, ((v >> (16 - 8 * k)) & 255).astype(np.uint8))
-    return buf[:(int(ends[-1]) + 7) // 8].tobytes(), pos[::BLOCK].astype("<u4").tobytes()
+    return buf[:(int(ends[-1]) + 7) // 8].tobytes(), pos[::BLOCK].astype("<u8").tobytes()
 
 
 def unpack(payloads, checkpoints, counts, sym, ln) -> list[np.ndarray]:
     """Decode all blocks side by side; each starts at its own checkpoint."""
     base = np.cumsum([0] + [len(p) for p in payloads[:-1]]) * 8
     data = np.frombuffer(b"".join(payloads) + b"\0\0\0\0", np.uint8).astype(np.int64)
-    pos = np.concatenate([np.frombuffer(c, "<u4").astype(np.int64) + b for c, b in zip(checkpoints, base)])
+    pos = np.concatenate([np.frombuffer(c, "<u8").astype(np.int64) + b for c, b in zip(checkpoints, base)])
     left = np.concatenate([np.minimum(BLOCK, n - np.arange(0, n, BLOCK)) for n in counts])
     out = np.zeros((len(pos), BLOCK), np.uint32)
     live = np.arange(len(pos))
@@ -165,73 +166,79 @@ def unpack(payloads, checkpoints, counts, sym, ln) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(counts)[:-1])
 
 
-def huffman_store(docs: DataFrame, path: str) -> tuple[DataFrame, tuple]:
-    """The stored table (part, doc_id, start, n_tokens, bits, checkpoints), in ascending doc_id order
-    within each part and parts in ascending ranges, and its code book (ids, lengths)."""
-    ids_schema = "part int, seq long, doc_id long, before long, n_tokens long, ids binary"
-
+def huffman_store(docs: DataFrame, tokenizer: str, path: str) -> None:
+    """Write the folder `path`."""
     def encode(batches):
         from pyspark import TaskContext
         _quiet()
-        tok, part, seq, before = load(path), TaskContext.get().partitionId(), 0, 0
+        tok, part, before = load(tokenizer), TaskContext.get().partitionId(), 0
         for big in batches:
-            for pdf in slices(big):
+            for pdf in by_size(big, chars=500_000, rows=128):
                 rows = []
                 for d, x in zip(pdf.doc_id, encode_texts(tok, pdf.text)):
-                    rows.append((part, seq, d, before, len(x) + 1, np.array(x + [END_ID], "<u4").tobytes()))
-                    seq, before = seq + 1, before + len(x) + 1
-                yield pd.DataFrame(rows, columns=["part", "seq", "doc_id", "before", "n_tokens", "ids"])
+                    rows.append((part, d, before, len(x) + 1, np.array(x + [END_ID], "<u4").astype(kind).tobytes()))
+                    before += len(x) + 1
+                yield pd.DataFrame(rows, columns=["part", "doc_id", "before", "n_tokens", "ids"])
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            c = np.bincount(np.frombuffer(b"".join(pdf.ids), "<u4"))
+            c = np.bincount(np.frombuffer(b"".join(pdf.ids), kind))
             if len(c) > len(total):
                 c, total = total, c.astype(np.int64)
             total[:len(c)] += c
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    raw = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(encode, ids_schema))
+    spark, kind = docs.sparkSession, "<u2" if load(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+    in_order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    raw = materialize(in_order.mapInPandas(encode, "part int, doc_id long, before long, n_tokens long, ids binary"))
     # at most the vocabulary's size in rows
     book = raw.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     if not len(book):
         book = pd.DataFrame({"id": [END_ID], "n": [1]})
     ids, lengths = book.id.to_numpy(), code_lengths(book.n.to_numpy())
+    spark.createDataFrame(pd.DataFrame({"id": ids, "length": lengths})).coalesce(1).write.parquet(f"{path}/book")
     codes, _, _ = canonical(ids, lengths)
     # one row per range partition
     parts = raw.groupBy("part").agg(F.min("doc_id").alias("lo"), F.sum("n_tokens").alias("n")).toPandas().sort_values(["lo", "part"], na_position="first")
     base = dict(zip(parts.part, (parts.n.cumsum() - parts.n).astype(int)))
+    rank = dict(zip(parts.part, range(len(parts))))
     code_of, len_of = np.zeros(int(ids.max()) + 1, np.int64), np.zeros(int(ids.max()) + 1, np.int64)
     code_of[ids], len_of[ids] = codes, lengths
 
     def store(batches):
-        for pdf in batches:
-            done = []
-            for x in pdf.ids:
-                a = np.frombuffer(x, "<u4")
-                done.append(pack(code_of[a], len_of[a]))
-            yield pd.DataFrame({"part": pdf.part, "doc_id": pdf.doc_id, "start": pdf.before + pdf.part.map(base), "n_tokens": pdf.n_tokens, "bits": [x[0] for x in done], "checkpoints": [x[1] for x in done]})
+        for big in batches:
+            for i in range(0, len(big), 1024):
+                pdf = big.iloc[i:i + 1024]
+                done = [pack(code_of[a], len_of[a]) for a in (np.frombuffer(x, kind) for x in pdf.ids)]
+                yield pd.DataFrame({"part": pdf.part.map(rank), "doc_id": pdf.doc_id, "start": pdf.before + pdf.part.map(base), "n_tokens": pdf.n_tokens, "bits": [x[0] for x in done], "checkpoints": [x[1] for x in done]})
 
-    table = raw.sortWithinPartitions("part", "seq").mapInPandas(store, "part int, doc_id long, start long, n_tokens long, bits binary, checkpoints binary")
-    return materialize(table, "part"), (ids, lengths)
+    table = raw.mapInPandas(store, "part int, doc_id long, start long, n_tokens long, bits binary, checkpoints binary")
+    table.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/parts")
+    release(raw)
 
 
-def huffman_read(table: DataFrame, book: tuple) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) from the stored table."""
+def huffman_read(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) from the folder `path` alone."""
+    book = spark.read.parquet(f"{path}/book").orderBy("id").toPandas()  # at most the vocabulary's size in rows
+
     def read(batches):
-        _, sym, ln = canonical(*book)
+        _, sym, ln = canonical(book.id.to_numpy(), book.length.to_numpy())
         for big in batches:
-            for pdf in slices(big, 512):
+            for pdf in by_size(big, "bits", 500_000):
                 out = unpack(list(pdf.bits), list(pdf.checkpoints), pdf.n_tokens.to_numpy(), sym, ln)
                 yield pd.DataFrame({"doc_id": pdf.doc_id, "start": pdf.start, "n_tokens": pdf.n_tokens, "ids": [x.astype("<u4").tobytes() for x in out]})
-    return table.select("doc_id", "start", "n_tokens", "bits", "checkpoints").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+
+    table = spark.read.schema("doc_id long, start long, n_tokens long, bits binary, checkpoints binary, part int").parquet(f"{path}/parts")
+    return table.drop("part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_huffman_ids(spark, sf_dir):
     import public_tokenizers
-    table, book = huffman_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    return huffman_read(table, book).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
+    huffman_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return huffman_read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_token_counts(spark, sf_dir):

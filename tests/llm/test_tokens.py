@@ -1,7 +1,12 @@
+import glob
+import pathlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -28,12 +33,12 @@ def test_lengths_are_complete_and_limited(n):
     assert n == 1 or sum(2.0 ** -l) == 1
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, tmp_path):
     texts = [None, "", "hello", "hello", "x <|endoftext|> y", "long text " * 30000, "日本語 " * 900]
     df = spark.createDataFrame([(i * 3, t, i) for i, t in enumerate(texts)], "doc_id long, text string, start int").repartition(3)
-    table, book = T.huffman_store(df, PATH)
+    T.huffman_store(df, PATH, f"{tmp_path}/a")
     tok, start = T.load(PATH), 0
-    got = {r.doc_id: r for r in T.huffman_read(table, book).collect()}
+    got = {r.doc_id: r for r in T.huffman_read(spark, f"{tmp_path}/a").collect()}
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         assert (got[i * 3].start, got[i * 3].n_tokens) == (start, len(ids))
@@ -43,6 +48,32 @@ def test_round_trip(spark):
     assert all(counts[k] == got[k].n_tokens - 1 for k in counts)
 
 
-def test_empty(spark):
+def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert T.huffman_read(*T.huffman_store(df, PATH)).count() == 0 and T.token_counts(df, PATH).count() == 0
+    T.huffman_store(df, PATH, f"{tmp_path}/a")
+    assert T.huffman_read(spark, f"{tmp_path}/a").count() == 0 and T.token_counts(df, PATH).count() == 0
+
+
+def test_order_over_parts_and_files(spark, tmp_path):
+    """Every file of a part is in ascending order, parts follow one another, and a process that
+    knows the folder alone decodes it."""
+    df = spark.createDataFrame([(i * 7 % 1009, f"text number {i} " * (i % 9), i) for i in range(1009)], "doc_id long, text string, part int").repartition(7)
+    T.huffman_store(df, PATH, f"{tmp_path}/a")
+    last, start = -1, 0
+    for part in sorted(glob.glob(f"{tmp_path}/a/parts/part=*"), key=lambda p: int(p.split("=")[-1])):
+        t = pd.concat([pd.read_parquet(f) for f in sorted(glob.glob(f"{part}/*.parquet"))])
+        assert t.doc_id.is_monotonic_increasing and t.doc_id.iloc[0] > last and t.start.iloc[0] == start
+        last, start = t.doc_id.iloc[-1], start + t.n_tokens.sum()
+    assert len(glob.glob(f"{tmp_path}/a/parts/part=*")) > 1
+    code = f"""
+import glob, sys, pandas as pd
+sys.path.insert(0, {str(pathlib.Path(T.__file__).parents[2])!r})
+from quarry.llm import tokens as T
+book = pd.read_parquet("{tmp_path}/a/book")
+_, sym, ln = T.canonical(book.id.to_numpy(), book.length.to_numpy())
+t = pd.concat([pd.read_parquet(f) for f in glob.glob("{tmp_path}/a/parts/part=*/*.parquet")])
+print(sum(int(x.sum()) for x in T.unpack(list(t.bits), list(t.checkpoints), t.n_tokens.to_numpy(), sym, ln)))
+"""
+    tok = T.load(PATH)
+    want = sum(sum(tok.encode(r.text, add_special_tokens=False).ids) + 2 for r in df.collect())
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) == want
