@@ -2,10 +2,13 @@
 
 Texts are measured in words; longer ones than the largest capacity are cut into pieces
 of it and a rest. Pieces are dealt by hash into shards of about SHARD pieces, whatever
-their source, and every shard is packed best-fit in descending order. A new bin opens at
-the capacity of least cost per word that the shard can still fill, a bin's cost being
-its capacity plus OVERHEAD; in the end each bin shrinks to the smallest capacity that
-holds its contents.
+their source, and every shard is packed best-fit in descending order.
+
+The cost of a bin grows faster than its capacity, as attention does: capacity + capacity
+squared / QUADRATIC, and OVERHEAD for the bin itself. The permitted capacities are chosen
+jointly: a plan opens bins at its capacity, or the smallest that holds the piece; every
+plan is packed, each bin shrinks to the smallest capacity that holds its contents, and the
+shard takes the plan of least cost in the end.
 
 Defined cases: null and empty texts are pieces of length 0 and join some bin; repeated
 rows are packed separately; other columns are ignored; an empty table gives no rows.
@@ -17,29 +20,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WORD, documents, materialize
 
-CAPACITIES, OVERHEAD, SHARD = (256, 512, 1024, 2048, 4096), 32, 20_000
+CAPACITIES, QUADRATIC, OVERHEAD, SHARD = (256, 512, 1024, 2048, 4096), 16_384, 64, 20_000
 
 
-def pack(sizes: list[int], capacities=CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
-    """Bin of every size, and each bin's capacity."""
-    caps = sorted(capacities)
-    rest, bins, open_, used, room = sum(sizes), [0] * len(sizes), [], [], []
+def cost(capacity: int) -> float:
+    return capacity + capacity * capacity / QUADRATIC + OVERHEAD
+
+
+def best_fit(sizes: list[int], caps: list[int], opened: int) -> tuple[list[int], list[int]]:
+    """Bin of every size, and each bin's smallest sufficient capacity; bins open at `opened`
+    or the smallest capacity that holds the piece."""
+    bins, open_, used = [0] * len(sizes), [], []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         s = sizes[i]
         k = bisect_left(open_, (s, -1))
         if k < len(open_):
             free, b = open_.pop(k)
         else:
-            fill = max(rest, 1)
-            cap = min((c for c in caps if c >= s), key=lambda c: ((c + overhead) / min(c, fill), c))
-            b, free = len(used), cap
+            b, free = len(used), max(opened, caps[bisect_left(caps, s)])
             used.append(0)
-            room.append(cap)
         bins[i] = b
         used[b] += s
-        rest -= s
         insort(open_, (free - s, b))
-    return bins, [next(c for c in caps if c >= u) for u in used]
+    return bins, [caps[bisect_left(caps, u)] for u in used]
+
+
+def pack(sizes: list[int], capacities=CAPACITIES) -> tuple[list[int], list[int]]:
+    """Bin of every size, and each bin's capacity, by the plan of least cost."""
+    caps = sorted(capacities)
+    plans = [best_fit(sizes, caps, c) for c in caps]
+    return min(plans, key=lambda p: sum(map(cost, p[1])))
 
 
 def pack_documents(docs: DataFrame, capacities=CAPACITIES, keep: tuple = ("doc_id",)) -> DataFrame:
