@@ -10,14 +10,15 @@ later than all parts, which is early for all but the first shingles of a text.
 Signing reads the documents where they lie and keeps the bands alone; texts move once
 more, for the bags of those that share a bucket. Different texts get an 8-byte id.
 
-Bands of the signature give candidates. In every round a bucket has a few centers (its
-smallest ids, CENTERS by round); members are compared with them, not with each other,
-and the exact similarity is checked. Members that no center matches form the next
-round's bucket, until none has two. A pair that a center pulls apart (it matches b and
-rejects c) is checked too, unless b and c are in one class by other links or the triangle
-inequality of the distance (1 - similarity, a metric) rules it out:
-d(b, c) >= d(a, c) - d(a, b). So every pair of a bucket is verified, in one class or
-proven less similar. Classes are the connected components of verified links.
+Bands of the signature give candidates. In every round a bucket has a few centers (those
+that meet most others in all bands, CENTERS by round); members are compared with them, not
+with each other, and the exact similarity is checked. Members that no center matches form
+the next round's bucket, until none has two or all are one class. A pair that a center
+pulls apart (it matches b and rejects c) is checked too, unless b and c are in one class by
+other links or the triangle inequality of the distance (1 - similarity, a metric) rules it
+out: d(b, c) >= d(a, c) - d(a, b). No pair is checked twice. So every pair of a bucket is
+verified, in one class or proven less similar. Classes are the connected components of
+verified links. Texts that are alike but not near each other are compared in pairs.
 
 A center's bag is sent once per DEAL of its pairs, so a center of very many members is
 spread over tasks.
@@ -39,9 +40,9 @@ BANDS, ROWS, WORDS, SIMILARITY = 28, 5, 5, 0.8
 PARTS = BANDS * ROWS
 #: Under this similarity to a center no text is near another one that matches the center.
 REACH = 2 * SIMILARITY - 1 - 1e-9
-CENTERS = (1, 8, 64)  # centers of a bucket by round; the last number stays
+CENTERS = (1, 16, 256)  # centers of a bucket by round; the last number stays
 DEAL = 256
-SLICES = (1, 4, 16)  # parts of 16 of a star's members that a rejected text meets by round
+SQUARES = (4, 32, 256)  # parts of 256 of the rejected and of the matched texts that meet by round
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,7 +170,8 @@ def signed_texts(docs: DataFrame) -> DataFrame:
 def rows_of(docs: DataFrame, texts: DataFrame, unique: str) -> DataFrame:
     """`unique` and _row of the one document in the first place of each of `texts`; rows that
     are repeated in one place count once per `unique`."""
-    pick = lambda part: identified(docs).join(part.select(*PLACE, unique), PLACE).select(unique, "_row")
+    # merged at every size: documents are not a side to broadcast to, nor are all texts one to broadcast
+    pick = lambda part: identified(docs).join(part.select(*PLACE, unique).hint("merge"), PLACE).select(unique, "_row")
     again = texts.where("n_first > 1")
     if again.isEmpty():
         return pick(texts)
@@ -209,46 +211,68 @@ def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long, sim double")
 
 
+def popular(members: DataFrame) -> DataFrame:
+    """band, id, pop of the buckets of members (band, id) with two texts or more; pop is the
+    number of texts met in all of them."""
+    busy = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(members.join(busy, "band"))
+    out = materialize(met.join(met.groupBy("id").agg(F.sum("n").alias("pop")), "id").drop("n"))
+    release(met)
+    return out
+
+
 def starred(members: DataFrame, centers: int) -> DataFrame:
-    """band, a, b: members (band, id) of buckets with two or more against the bucket's smallest ids."""
+    """band, a, b: members (band, id, pop) of buckets with two or more against their most
+    popular ones. In a group of edits of one text, that text meets most of the others."""
     if centers == 1:
-        top = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select("band", "a")
+        top = members.groupBy("band").agg(F.max(F.struct("pop", -F.col("id"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        top = top.select("band", (-F.col("top.col2")).alias("a"), F.col("top.pop").alias("most"))
     else:
         # the first ranks are cut before the shuffle
-        top = members.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("id"))).where(F.col("rank") <= centers).select("band", F.col("id").alias("a"))
-    return materialize(members.join(top, "band").where("id > a").select("band", "a", F.col("id").alias("b")))
+        first = Window.partitionBy("band").orderBy(F.desc("pop"), "id")
+        top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= centers).select("band", F.col("id").alias("a"), F.col("pop").alias("most"))
+    return materialize(members.join(top, "band").where("pop < most or (pop = most and id > a)").select("band", "a", F.col("id").alias("b"), "pop"))
+
+
+def with_root(df: DataFrame, root: DataFrame, col: str) -> DataFrame:
+    """df with {col}_root, the class of that id so far."""
+    r = root.select(F.col("node").alias(col), F.col("root").alias("_r"))
+    return df.join(r, col, "left").withColumn(f"{col}_root", F.coalesce("_r", col)).drop("_r")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b), a < b, between ids of different texts, and their components (node, root)."""
-    members = signed.select("id", F.explode("bands").alias("band"))
+    members = popular(signed.select("id", F.explode("bands").alias("band")))
     open_ = starred(members, CENTERS[0])
-    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bags = materialize(bags_table(docs, signed.join(ids, "id", "left_semi")))
-    found, apart, r = [], [], 0
+    bags = materialize(bags_table(docs, signed.join(members.select("id").distinct(), "id", "left_semi")))
+    found, apart, r, root = [], [], 0, None
     while not open_.isEmpty():
-        checked = materialize(with_likeness(open_.select("a", "b").distinct(), bags))
-        found.append(checked)
-        was, open_ = open_, materialize(open_.join(checked, ["a", "b"]).select("band", "a", "b", "sim"))
+        pairs = open_.select("a", "b").distinct()
+        if root is not None:  # of one class already: nothing to find
+            pairs = with_root(with_root(pairs, root, "a"), root, "b").where("a_root <> b_root").select("a", "b").join(_all(found), ["a", "b"], "left_anti")
+        found.append(materialize(with_likeness(pairs, bags)))
+        was, open_ = open_, materialize(open_.join(_all(found), ["a", "b"], "left").select("band", "a", "b", "pop", "sim"))
         release(was)
         # what a star matched stays where the star rejected a text within reach of it
         lost = open_.where((F.col("sim") < SIMILARITY) & (F.col("sim") >= REACH))
-        apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost)))
+        apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost).drop("pop")))
+        if root is None or not found[-1].where(F.col("sim") >= SIMILARITY).isEmpty():
+            root = components(_all(found).where(F.col("sim") >= SIMILARITY))
         # centers have met the whole bucket; so has everyone once all of it were centers
-        rest = open_.groupBy("band", F.col("b").alias("id")).agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
-        rest = rest.where((F.col("most") < SIMILARITY) & (F.col("n") >= CENTERS[r])).select("band", "id")
+        rest = open_.groupBy("band", F.col("b").alias("id"), "pop").agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
+        rest = rest.where((F.coalesce("most", F.lit(0.0)) < SIMILARITY) & (F.col("n") >= CENTERS[r])).select("band", "id", "pop")
+        rest = materialize(with_root(rest, root, "id"))
+        # a bucket of one class has nothing to find either
+        mixed = rest.groupBy("band").agg(F.min("id_root").alias("low"), F.max("id_root").alias("high")).where("low <> high").select("band")
         r = min(r + 1, len(CENTERS) - 1)
-        was, open_ = open_, starred(rest, CENTERS[r])
-        release(was)
-    out = materialize(_all(found).where(F.col("sim") >= SIMILARITY).select("a", "b").distinct()) if found else open_.select("a", "b")
-    root = components(out)
-    if apart:
-        more = across(apart, root, bags)
-        release(*found, *apart)
-        if not more.isEmpty():
-            out = materialize(out.unionByName(more).distinct())
-            root = components(out)
-    release(bags)
+        was, open_ = open_, starred(rest.join(mixed, "band", "left_semi").select("band", "id", "pop"), CENTERS[r])
+        release(was, rest)
+    if root is None:
+        return open_.select("a", "b"), components(open_)
+    out = _all(found).where(F.col("sim") >= SIMILARITY)
+    out = materialize(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    out, root = across(apart, out, root, bags)
+    release(bags, *found, *apart)
     return out, root
 
 
@@ -259,30 +283,25 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def across(apart: list[DataFrame], root: DataFrame, bags: DataFrame) -> DataFrame:
-    """Verified links (a, b) between texts that a center rejected and those that it matched.
-    A rejected text leaves once it is linked to the center's class."""
-    both = _all(apart)
-    lost = both.where(F.col("sim") < SIMILARITY).select("band", "a", F.col("b").alias("c"), F.col("sim").alias("low"))
-    cls = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
-    lost = lost.join(cls("a"), "a").join(cls("c"), "c", "left").where("not a_root <=> c_root").drop("c_root")
-    lost = materialize(lost)
-    # d(a, c) - d(a, b) <= 1 - SIMILARITY
-    kept = both.where(F.col("sim") >= SIMILARITY).select("band", "a", "b", "sim", F.pmod(F.xxhash64("b"), F.lit(SLICES[-1])).alias("slice"))
-    out, done, low, used = [], None, 0, [lost]
-    for high in SLICES:
-        todo = lost if done is None else lost.join(done, ["c", "a_root"], "left_anti")
-        pairs = todo.join(kept.where(F.col("slice").between(low, high - 1)), ["band", "a"]).where(F.col("sim") - F.col("low") <= 1 - SIMILARITY + 1e-9)
-        pairs = materialize(pairs.select("b", "c", "a_root").distinct())
-        used.append(pairs)
-        seen = with_likeness(pairs.select(F.col("c").alias("a"), "b").distinct(), bags)
-        good = materialize(seen.where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        out.append(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        linked = pairs.join(good.select(F.col("a").alias("c"), "b"), ["b", "c"]).select("c", "a_root")
-        done = linked.distinct() if done is None else done.unionByName(linked).distinct()
-        low = high
-    release(*used)
-    return _all(out)
+def across(apart: list[DataFrame], edges: DataFrame, root: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those between texts that a center rejected and those that it
+    matched. Few of both meet first, then more (SQUARES); pairs whose classes have become one
+    are dropped, and of the others none is left out in the end."""
+    both, place = _all(apart), lambda c: F.pmod(F.xxhash64(c), F.lit(SQUARES[-1])).alias(f"h{c}")
+    lost = materialize(both.where(F.col("sim") < SIMILARITY).select("band", "a", F.col("b").alias("c"), F.col("sim").alias("low")).withColumn("hc", place("c")))
+    kept = both.where(F.col("sim") >= SIMILARITY).select("band", "a", "b", "sim", place("b"))
+    before = 0
+    for now in SQUARES:
+        todo = with_root(with_root(lost.where(F.col("hc") < now), root, "a"), root, "c").where("a_root <> c_root").drop("a_root", "c_root")
+        # d(a, c) - d(a, b) <= 1 - SIMILARITY
+        pairs = todo.join(kept.where(F.col("hb") < now), ["band", "a"]).where((F.col("sim") - F.col("low") <= 1 - SIMILARITY + 1e-9) & (F.greatest("hb", "hc") >= before))
+        good = materialize(with_likeness(materialize(pairs.select(F.col("c").alias("a"), "b").distinct()), bags).where(F.col("sim") >= SIMILARITY))
+        if not good.isEmpty():
+            edges = materialize(edges.unionByName(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+            root = components(edges)
+        before = now
+    release(lost)
+    return edges, root
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -98,10 +98,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if not order.where("again").isEmpty():
         texts = texts.dropDuplicates(["row_key"])
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    ask = order.select(F.col("next_key").alias("row_key"), "row", "again", cut.alias("cut"))
-    heads = texts.join(ask, "row_key").select("row", "again", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
-    e = texts.join(order, "row_key").drop("next_key", "row_key")
-    e = e.join(heads, ["row", "again"]).select("row", "part", "again", "copies", "doc_id", "n_chars", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.col("head")).alias("edited"))
+    ask = order.select(F.col("next_key").alias("row_key"), F.col("row_key").alias("to"), F.col("again").alias("to_again"), cut.alias("cut"))
+    heads = texts.join(ask, "row_key").select(F.col("to").alias("row_key"), "to_again", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
+    # by row_key alone, as the texts lie, so that they do not move again
+    e = texts.join(order.drop("next_key"), "row_key")
+    e = e.join(heads, "row_key").where(F.col("again").cast("int") - F.col("to_again").cast("int") == 0).select("row", "part", "again", "copies", "doc_id", "n_chars", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.col("head")).alias("edited"))
     meta = ["row", "part", "again", "copies", "doc_id", "n_chars", "edited_sha256", "g0", "g1", "rest0", "rest1"]
     e = e.select("*", F.sha2("edited", 256).alias("edited_sha256"), term_hashes(F.col("text")).alias("h0"), term_hashes(F.col("edited")).alias("h1"))
     e = e.select("*", *[grade(F.col(f"h{k}")).alias(f"g{k}") for k in (0, 1)], *[F.xxhash64(F.array_sort(f"h{k}")).alias(f"rest{k}") for k in (0, 1)])
