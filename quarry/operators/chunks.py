@@ -2,7 +2,7 @@
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 WORDS = re.compile(r"\w+")
 
@@ -49,10 +49,42 @@ def word_windows(docs: DataFrame, id_col: str, size: int, overlap: int) -> DataF
         id_col, "piece", F.array_join(F.slice("w", (F.col("piece") * step + 1).cast("int"), F.lit(size)), " ").alias("text"))
 
 
-def diverse(rows: DataFrame, group: str, quota: int, most: float = 0.5) -> DataFrame:
+def recursive_split(text: str, separators: tuple, most: int, overlap: int) -> list[str]:
+    """Pieces of at most `most` characters at the first separator that gives them; what is longer
+    goes to the next separator, in the end to cuts of `most` characters. A piece repeats the
+    last `overlap` characters of the one before it, which may lengthen it."""
+    if len(text) <= most:
+        return [text]
+    if not separators or not separators[0]:
+        return [text[i:i + most] for i in range(0, len(text), most - overlap)]
+    sep, held, out = separators[0], "", []
+    for part in text.split(sep):
+        if len(part) > most:
+            out += [held] * bool(held) + recursive_split(part, separators[1:], most, overlap)
+            held = ""
+            continue
+        longer = held + sep + part if held else part
+        if len(longer) <= most:
+            held = longer
+            continue
+        out += [held] * bool(held)
+        tail = held[len(held) - min(overlap, len(held)):]
+        held = tail + sep + part if tail else part
+    return out + [held] * bool(held)
+
+
+def overlap_length(left, right):
+    """Length of the longest end of one text that the next begins with, shorter than that one."""
+    n = F.filter(F.sequence(F.lit(0), F.greatest(F.length(right) - 1, F.lit(0))), lambda i: F.startswith(right, F.right(left, i)))
+    return F.array_max(n)
+
+
+def diverse(rows: DataFrame, group: str, quota: int, most: float = 0.5, first: int = 256) -> DataFrame:
     """Greedy by score within each group: at most `quota`, none with Jaccard above `most` to one selected.
 
-    The fold reads a group in order of score and keeps only the selected word sets."""
+    The fold reads a group in order of score and keeps the selected word sets alone. The best
+    `first` rows of each group are read first; a group whose quota they do not fill is folded
+    whole."""
     schema = rows.select("doc_id", group, "score").schema
 
     def run(batches):
@@ -63,9 +95,18 @@ def diverse(rows: DataFrame, group: str, quota: int, most: float = 0.5) -> DataF
                 mine = have.setdefault(g, [])
                 if len(mine) >= quota:
                     continue
-                w = set(t.lower().split())
+                w = set((t or "").lower().split())
                 if all(len(w & o) <= most * len(w | o) for o in mine):
                     mine.append(w)
                     out.append((i, g, s))
             yield pd.DataFrame(out, columns=["doc_id", group, "score"])
-    return rows.repartition(group).sortWithinPartitions(group, F.desc("score"), "doc_id").mapInPandas(run, schema)
+
+    fold = lambda d: d.repartition(group).sortWithinPartitions(group, F.desc("score"), "doc_id").mapInPandas(run, schema)
+    order = Window.partitionBy(group).orderBy(F.desc("score"), "doc_id")
+    best = fold(rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first).drop("_n"))
+    # at most quota rows a group
+    full = best.groupBy(group).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= quota).select(group)
+    sizes = rows.groupBy(group).count().where(F.col("count") <= first).select(group)
+    done = full.unionByName(sizes).distinct()
+    rest = rows.join(F.broadcast(done), rows[group].eqNullSafe(done[group]), "left_anti")
+    return best.join(F.broadcast(done), best[group].eqNullSafe(done[group]), "left_semi").unionByName(fold(rest.select("doc_id", group, "text", "score")))

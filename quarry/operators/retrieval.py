@@ -1,15 +1,62 @@
-"""Indexes, batch search, fusion and metrics. Statistics are global; filters apply to results."""
+"""Indexes, batch search, fusion and metrics. Statistics are global; filters apply to results.
+
+An index is four tables: postings (id, term, tf, dl, dn: the text's TF-IDF norm), terms
+(term, df), lengths (id, dl) and stats (n, avgdl). Build it once and save it.
+"""
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.text import terms
 
+MAX_QUERY_TERMS = 1_000_000
+
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", tokenizer=terms) -> dict[str, DataFrame]:
-    """postings (id, term, tf, dl), terms (term, df). Term counts combine before the shuffle."""
+    """Term counts combine before the shuffle."""
     t = docs.select(F.col(id_col).alias("id"), tokenizer("text").alias("ts"))
     tok = t.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     postings = tok.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return {"postings": postings, "terms": postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "lengths": t.select("id", F.size("ts").alias("dl"))}
+    lengths = t.select("id", F.size("ts").alias("dl"))
+    return {"postings": postings, "lengths": lengths, **statistics(postings, lengths)}
+
+
+def statistics(postings: DataFrame, lengths: DataFrame) -> dict[str, DataFrame]:
+    return {"terms": postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "stats": lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))}
+
+
+def norms(index: dict[str, DataFrame]) -> DataFrame:
+    """id, dn of the TF-IDF vectors; a table of its own in a saved index."""
+    d = index["postings"].join(_smooth_idf(index), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+
+
+def idf(df, n, mode: str):
+    """okapi (may be negative), plus_one, smooth or notebook."""
+    return {"okapi": F.log(n - df + 0.5) - F.log(df + 0.5), "plus_one": F.log((n - df + 0.5) / (df + 0.5) + 1),
+            "smooth": F.log((1 + n) / (1 + df)) + 1, "notebook": F.log(n / (1 + df))}[mode]
+
+
+def with_stats(index: dict[str, DataFrame]) -> DataFrame:
+    """terms with n and avgdl, one row that goes to all tasks."""
+    return index["terms"].join(F.broadcast(index["stats"]), how="cross")
+
+
+def _smooth_idf(index):
+    return with_stats(index).select("term", idf(F.col("df"), F.col("n"), "smooth").alias("idf"))
+
+
+def postings_of(q: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """The postings of the queries' terms; those terms are broadcast while they are few."""
+    t = q.select("term").distinct()
+    t = F.broadcast(t) if t.count() <= MAX_QUERY_TERMS else t
+    return index["postings"].join(t, "term", "left_semi")
+
+
+def permitted(scored: DataFrame, meta: DataFrame, filters: DataFrame) -> DataFrame:
+    """Scored rows whose metadata (id, ticker, year) pass their query's lists (query_id, tickers,
+    years); an empty or null list lets all pass."""
+    j = scored.join(filters, "query_id").join(meta, "id")
+    passes = lambda c, v: (F.coalesce(F.size(c), F.lit(0)) <= 0) | F.array_contains(c, F.col(v))
+    return j.where(F.coalesce(passes("tickers", "ticker") & passes("years", "year"), F.lit(False))).select(*scored.columns)
 
 
 def query_terms(queries: DataFrame, tokenizer=terms) -> DataFrame:
@@ -21,48 +68,74 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, index: dict, k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float | None = 0.25) -> DataFrame:
+def bm25_scores(queries: DataFrame, index: dict, k1: float = 1.5, b: float = 0.75, floor: float | None = 0.25) -> DataFrame:
     """floor: the share of the mean idf that negative ones get; None: the plus-one idf."""
-    stats = index["lengths"].agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df, n = F.col("df"), F.col("n")
-    if floor is None:
-        t = index["terms"].join(F.broadcast(stats), how="cross").withColumn("idf", F.log((n - df + 0.5) / (df + 0.5) + 1))
-    else:
-        t = index["terms"].join(F.broadcast(stats), how="cross").withColumn("raw", F.log(n - df + 0.5) - F.log(df + 0.5))
-        t = t.join(F.broadcast(t.agg((F.avg("raw") * floor).alias("eps"))), how="cross").withColumn("idf", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")))
-    hit = query_terms(queries).join(t.select("term", "idf", "avgdl"), "term").join(index["postings"], "term")
+    t = with_stats(index).withColumn("idf", idf(F.col("df"), F.col("n"), "plus_one" if floor is None else "okapi"))
+    if floor is not None:
+        t = t.join(F.broadcast(t.agg((F.avg("idf") * floor).alias("eps"))), how="cross").withColumn("idf", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")))
+    q = query_terms(queries)
+    hit = q.join(t.select("term", "idf", "avgdl"), "term").join(postings_of(q, index), "term")
     tf = F.col("tf")
     s = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return top_k(hit.groupBy("query_id", "id").agg(F.round(F.sum(s), 6).alias("score")).where("score > 0"), k)
+    return hit.groupBy("query_id", "id").agg(F.round(F.sum(s), 6).alias("score")).where("score > 0")
+
+
+def bm25(queries: DataFrame, index: dict, k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float | None = 0.25, meta: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
+    s = bm25_scores(queries, index, k1, b, floor)
+    return top_k(s if filters is None else permitted(s, meta, filters), k)
 
 
 def tfidf(queries: DataFrame, index: dict, k: int = 5) -> DataFrame:
-    n = index["lengths"].agg(F.count(F.lit(1)).alias("n"))
-    t = index["terms"].join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    d = index["postings"].join(t, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    t = _smooth_idf(index)
     q = query_terms(queries).join(t, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dot = q.select("query_id", "term", "qw").join(d.select("id", "term", "w"), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    hit = q.select("query_id", "term", "qw", "idf").join(postings_of(query_terms(queries), index), "term")
+    dot = hit.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
+    norm = index["norms"] if "norms" in index else norms(index)
     s = dot.join(norm, "id").join(qn, "query_id").select("query_id", "id", F.round(F.col("dot") / F.col("dn") / F.col("qn"), 6).alias("score"))
     return top_k(s.where("score > 0"), k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Exact cosine of the stated query set (query_id, embedding) against all vectors (id, embedding).
+def tfidf_lengths(queries: DataFrame, index: dict, k: int = 5) -> DataFrame:
+    """The variant with counts divided by length and ln(N / (1 + df)): products of positive
+    weights alone, norms of all; a query's words count once."""
+    t = with_stats(index).select("term", idf(F.col("df"), F.col("n"), "notebook").alias("idf"))
+    d = index["postings"].join(t, "term").withColumn("w", F.col("tf") / F.col("dl") * F.col("idf"))
+    dn = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    length = query_terms(queries).groupBy("query_id").agg(F.sum("qtf").alias("ql"))
+    q = query_terms(queries).join(length, "query_id").join(t, "term").withColumn("qw", F.col("qtf") / F.col("ql") * F.col("idf")).select("query_id", "term", "qw")
+    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    dot = q.where("qw > 0").join(d.where("w > 0"), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    s = dot.join(dn, "id").join(qn, "query_id").select("query_id", "id", F.round(F.col("dot") / F.col("dn") / F.col("qn"), 6).alias("score"))
+    return top_k(s.where("score > 0"), k)
+
+
+def unit(c):
+    return F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(c.cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v)))
+
+
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, allowed: DataFrame | None = None, overfetch: bool = False) -> DataFrame:
+    """Exact cosine of the stated query set (query_id, embedding) against all vectors (id, embedding),
+    or those whose id is in `allowed`; with `overfetch` the best max(10 k, 200) of all, which
+    are then cut to those allowed and may be fewer than k.
 
     Queries come in one broadcast only while they are few; more are dealt in blocks."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)))
-    q = queries.select("query_id", unit(F.col("embedding").cast("array<double>")).alias("q"))
-    v = vectors.select("id", unit(F.col("embedding").cast("array<double>")).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
+    v = vectors.select("id", unit(F.col("embedding")).alias("v"))
+    if allowed is not None and not overfetch:
+        v = v.join(allowed, "id", "left_semi")
+    fetch = max(10 * k, 200) if overfetch else k
     blocks = max(1, -(-q.count() // 10_000))
     out = None
     for i in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        s = top_k(v.join(F.broadcast(part), how="cross").select("query_id", "id", F.round(dot, 6).alias("score")), k)
+        s = top_k(v.join(F.broadcast(part), how="cross").select("query_id", "id", F.round(dot("q", "v"), 6).alias("score")), fetch)
         out = s if out is None else out.unionByName(s)
-    return out
+    return top_k(out.drop("rank").join(allowed, "id", "left_semi"), k) if overfetch and allowed is not None else out
 
 
 def rrf(*ranked: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
@@ -72,14 +145,29 @@ def rrf(*ranked: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
     return top_k(all_.groupBy("query_id", "id").agg(F.round(F.sum(F.lit(1.0) / (rrf_k + F.col("rank"))), 9).alias("score")), k)
 
 
-def metrics(ranked: DataFrame, truth: DataFrame) -> DataFrame:
-    """recall, mrr, ndcg per query of `truth` (query_id, id)."""
-    gt = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    got = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ret"))
-    hit = ranked.join(truth, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_ret", "n_gt").cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
-    return gt.join(got, "query_id", "left").join(hit, "query_id", "left").select(
-        "query_id", F.round(F.coalesce(F.col("hits") / F.col("n_gt"), F.lit(0.0)), 6).alias("recall"),
+def rrf_details(lexical: DataFrame, semantic: DataFrame, rrf_k: int = 60) -> DataFrame:
+    """query_id, id, both ranks as text (N/A where absent), their shares and the total."""
+    side = lambda d, n: d.select("query_id", "id", F.col("rank").alias(n))
+    j = side(lexical, "l").join(side(semantic, "s"), ["query_id", "id"], "full")
+    share = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
+    text = lambda r: F.coalesce(F.col(r).cast("string"), F.lit("N/A"))
+    return j.select("query_id", "id", text("l").alias("bm25_rank"), F.round(share("l"), 9).alias("bm25_score"), text("s").alias("vector_rank"), F.round(share("s"), 9).alias("vector_score"), F.round(share("l") + share("s"), 9).alias("total_score"))
+
+
+def hits(ranked: DataFrame, truth: DataFrame) -> DataFrame:
+    """ranked with hit, by pairs of truth (query_id, id)."""
+    return ranked.join(truth.select("query_id", "id", F.lit(True).alias("hit")).distinct(), ["query_id", "id"], "left")
+
+
+def metrics(judged: DataFrame, counts: DataFrame, ideal_of_k: int | None = None) -> DataFrame:
+    """recall, mrr, ndcg per query of `counts` (query_id, n_gt, others) from ranked rows with hit.
+    The ideal gain is of as many rows as were returned, or of k rows if `ideal_of_k` is given."""
+    got = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ret"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
+                                         F.sum(F.when(F.col("hit"), 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
+    n = F.least(F.col("n_ret") if ideal_of_k is None else F.lit(ideal_of_k), F.col("n_gt")).cast("int")
+    ideal = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0)))
+    return counts.join(got, "query_id", "left").select(
+        *counts.drop("n_gt").columns, F.round(F.coalesce(F.try_divide("hits", "n_gt"), F.lit(0.0)), 6).alias("recall"),
         F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"))
 
 

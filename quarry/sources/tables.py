@@ -27,11 +27,40 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "�", "").alias("html"))
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole JSON documents."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n (from 0, blank lines counted) and value of the lines of one file."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+
+
+SUMMARY = "map<string, struct<desc: string, overall: map<string, double>, by_category: map<string, map<string, double>>>>"
+
+
+def summary_rows(doc: DataFrame) -> DataFrame:
+    """config, desc, category (null: overall), metric, value of a summary document (column summary)."""
+    c = doc.select(F.explode("summary").alias("config", "s")).select("config", "s.*")
+    flat = c.select("config", "desc", F.lit(None).cast("string").alias("category"), F.explode("overall").alias("metric", "value"))
+    return flat.unionByName(c.select("config", "desc", F.explode("by_category").alias("category", "m")).select("config", "desc", "category", F.explode("m").alias("metric", "value")))
+
+
 def save_index(index: dict[str, DataFrame], path: str) -> None:
+    """A folder per table; a folder that exists raises, so that no reader loses its index."""
     for name, df in index.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{name}")
 
 
-def load_index(spark: SparkSession, path: str, names=("postings", "terms", "lengths")) -> dict[str, DataFrame]:
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A missing index raises."""
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "lengths", "stats", "norms")}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where it is unset in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (base or "/tmp/quarry-checkpoint").rstrip("/")

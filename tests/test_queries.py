@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from quarry.operators.chunks import pack_sentences
-from quarry.plans.registry import ORACLES, QUERIES
+from quarry.plans.catalogue import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
 
