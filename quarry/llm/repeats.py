@@ -16,10 +16,9 @@ Bytes, by suffix order: the anchors have half of the length. All different regio
 anchor that repeats are put in one block, whose suffixes are sorted by Lyndon groups
 (lyndon.py); neighbours in suffix order whose common prefix, compared byte by byte, reaches
 the window's length are repeats, and nothing else is. A group of more than LIMIT regions is
-split by the bytes next to the anchor: by ranges of the anchor's place in the window
-(WIDTHS), whose windows share more and more bytes, in the end all.
+split by the bytes next to the anchor, to groups of one window each, which need no order.
 
-Hashes of words' windows have 128 bits where they decide; others only select candidates.
+Hashes of windows have 128 bits where they decide; others only select candidates.
 
 Defined cases: null is the empty text; texts shorter than the window lose nothing; exact
 copies of a text at least one window long lose everything; repeated rows count as copies;
@@ -37,8 +36,8 @@ from .lyndon import suffix_order
 GOLD, DOUBLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LOW = np.uint64(0xFFFFFFFF)
-#: Bytes of a block of small groups, regions sorted at a time, regions of a group, windows of a run by split.
-BLOCK, SLICE, LIMIT, WIDTHS = 2048, 4_000, 32, (101, 13, 1)
+#: Bytes of a block of small groups, regions sorted at a time, regions of a group in one block.
+BLOCK, SLICE, LIMIT = 2048, 4_000, 32
 CHARS = 400_000
 
 
@@ -150,10 +149,8 @@ def ranges(length: int, unit: str, level: int) -> list[tuple[int, int]]:
     top = length - short_of(length, unit)
     if level == 0:
         return [(0, top)]
-    if unit == "word":
-        twice = 2 * short_of(length, unit)
-        return [(0, length - twice), (length - twice + 1, top)]
-    return [(o, min(o + WIDTHS[level] - 1, top)) for o in range(0, top + 1, WIDTHS[level])]
+    twice = 2 * short_of(length, unit)
+    return [(0, length - twice), (length - twice + 1, top)]
 
 
 def split(syms: list, sizes: np.ndarray, length: int, unit: str, level: int, whole: bool = True, groups: bool = True) -> tuple:
@@ -165,24 +162,13 @@ def split(syms: list, sizes: np.ndarray, length: int, unit: str, level: int, who
         z = np.empty(0, np.int64)
         return z, z, z, z, [z for _ in syms], [z for _ in syms]
     w = [windows(s, length) for s in syms] if whole else []
-    out, shared = [], {}
-    if not groups:
-        pass
-    elif unit == "word" and level:
-        shared[0] = windows(syms[0], 2 * short_of(length, unit))
-    elif level:
-        rs = ranges(length, unit, level)
-        sizes_ = sorted({length + lo - hi for lo, hi in rs})
-        shared = dict(zip(sizes_, windows_of(syms[0], *sizes_)))
+    out, short = [], short_of(length, unit)
+    twice = windows(syms[0], 2 * short) if groups and level else h
     for lo, hi in ranges(length, unit, level):
         a, b = np.maximum(first, anchor - hi), np.minimum(last, anchor - lo)
         k = np.flatnonzero(a <= b)
-        if level == 0 or not groups:
-            g = h[anchor[k]]
-        elif unit == "word":  # the anchor's second half lies to its right, or its left
-            g = shared[0][anchor[k] - (0 if lo == 0 else short_of(length, unit))]
-        else:
-            g = shared[length + lo - hi][anchor[k] - lo]
+        # the anchor's second half lies to its right, or its left
+        g = twice[anchor[k] - (short if level and groups and lo else 0)]
         out.append((a[k], b[k], owner[k], g, np.full(len(k), lo * 4096 + hi + 1, np.uint64)))
     a, b, owner, g, tag = (np.concatenate(x) for x in zip(*out))
     with np.errstate(over="ignore"):  # two full windows cover the run's text
@@ -312,22 +298,33 @@ def sorted_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"r1": pdf.r1.to_numpy()[row[hit[at]]], "offs": pd.Series(np.split(off[hit], at[1:]) if len(hit) else [], dtype=object)})
 
 
-def sorted_windows(texts: DataFrame, reg: DataFrame, length: int, level: int) -> DataFrame:
-    """r1, r2, offs: the repeated windows of byte regions that occur once, by suffix order."""
-    asked = with_texts(texts, reg.where("more"), "r1", "n")
+def sorted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
+    """r1, r2, offs: the repeated windows of byte regions that occur once: by suffix order, and
+    in groups of more than LIMIT regions by the windows themselves."""
+    asked = with_texts(texts, reg.where("more").withColumn("hot", F.col("m") > LIMIT), "r1", "n", "hot")
 
     def bodies(batches):
         for big in batches:
             for pdf in by_size(big, chars=CHARS):
                 syms, sizes, parts = symbols(pdf.text, "byte")
-                a, b, _, g, r, _ = split(syms, sizes, length, "byte", level)
+                a, b, _, g, r, w = split(syms, sizes, length, "byte", 0)
                 ask, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf.r1s]), return_index=True)
-                ns = np.concatenate([np.asarray(x, np.int64) for x in pdf.ns])[at]
+                ns, hots = (np.concatenate([np.asarray(x) for x in pdf[c]])[at] for c in ("ns", "hots"))
                 _, k = np.unique(r[0], return_index=True)
                 k = k[np.isin(r[0][k], ask)]
-                data = b"".join(parts)
-                if len(k):
-                    yield pd.DataFrame({"g": g[k], "r1": r[0][k], "n": ns[np.searchsorted(ask, r[0][k])], "body": [data[x:y + length] for x, y in zip(a[k], b[k])]})
+                if not len(k):
+                    continue
+                i = np.searchsorted(ask, r[0][k])
+                n, hot, data = ns[i], hots[i].astype(bool), b"".join(parts)
+                c = k[~hot]
+                yield pd.DataFrame({"g": g[c], "r1": r[0][c], "n": n[~hot], "body": [data[x:y + length] for x, y in zip(a[c], b[c])], "off": 0, "w1": 0, "w2": 0})
+                c = k[hot]
+                if len(c):
+                    other = windows(mix(syms[0] ^ GOLD), length).view(np.int64)
+                    m = b[c] - a[c] + 1
+                    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    p, n = np.repeat(a[c], m) + off, np.repeat(n[hot], m)
+                    yield pd.DataFrame({"g": np.repeat(g[c], m), "r1": np.repeat(r[0][c], m), "n": n, "body": None, "off": np.where(n == 1, off, -1), "w1": w[0][p], "w2": other[p]})
 
     def classes(batches):
         held = None
@@ -355,9 +352,15 @@ def sorted_windows(texts: DataFrame, reg: DataFrame, length: int, level: int) ->
             yield sorted_repeats(pdf.iloc[done:k], length)
             done = k
 
-    dealt = asked.mapInPandas(bodies, "g long, r1 long, n long, body binary")
-    in_order = dealt.repartition("g").sortWithinPartitions("g", "r1")
-    return materialize(in_order.mapInPandas(classes, "r1 long, offs array<long>").select("r1", F.lit(0).cast("long").alias("r2"), "offs"))
+    dealt = materialize(asked.mapInPandas(bodies, "g long, r1 long, n long, body binary, off long, w1 long, w2 long"))
+    in_order = dealt.where("body is not null").select("g", "r1", "n", "body").repartition("g").sortWithinPartitions("g", "r1")
+    cold = in_order.mapInPandas(classes, "r1 long, offs array<long>")
+    one = dealt.where("body is null").select("r1", "n", "off", "w1", "w2")
+    again = one.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
+    hot = one.where("off >= 0").join(again, ["w1", "w2"]).groupBy("r1").agg(F.collect_set("off").alias("offs"))
+    out = materialize(cold.unionByName(hot).select("r1", F.lit(0).cast("long").alias("r2"), "offs"))
+    release(dealt)
+    return out
 
 
 def regions_of(live: DataFrame) -> DataFrame:
@@ -368,40 +371,21 @@ def regions_of(live: DataFrame) -> DataFrame:
 
 
 def hits(texts: DataFrame, length: int, unit: str) -> DataFrame:
-    """id, level, r1, offs of every region with repeated windows; offs is null where all are."""
-    level = 0
+    """id, r1, offs of every region with repeated windows; offs is null where all are."""
     live = materialize(rows_by_level(texts, length, unit, 0))
     was, live = live, materialize(repeated(live, ["g"]))
     release(was)
     if unit == "word":
-        level = 1
         was, live = live, materialize(rows_by_level(with_texts(texts, live, "g"), length, unit, 1))
         release(was)
         was, live = live, materialize(repeated(live, ["g"]))
         release(was)
-    found = []
-    while True:
-        reg = regions_of(live)
-        hot = None
-        if unit == "byte" and level + 1 < len(WIDTHS):
-            hot = reg.where(F.col("m") > LIMIT).select("g").distinct()
-            reg = reg.where((F.col("m") <= LIMIT) | F.col("m").isNull())
-            hot = None if hot.isEmpty() else materialize(hot)
-        some = counted_windows(texts, reg, length) if unit == "word" else sorted_windows(texts, reg, length, level)
-        hit = reg.where("n > 1").select("g", "r1", "r2", F.lit(None).cast("array<long>").alias("offs")).unionByName(
-            reg.where("n = 1").select("g", "r1", "r2").join(some, ["r1", "r2"]))
-        mine = live.select("id", "g", "r1", "r2").join(hit, ["g", "r1", "r2"]).select("id", F.lit(level).alias("level"), "r1", "offs")
-        found.append(materialize(mine))
-        release(some)
-        if hot is None:
-            release(live)
-            break
-        level += 1
-        was, live = live, materialize(repeated(rows_by_level(with_texts(texts, live.join(hot, "g", "left_semi").select("id", "g").distinct(), "g"), length, unit, level), ["g"]))
-        release(was, hot)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    reg = regions_of(live)
+    some = counted_windows(texts, reg, length) if unit == "word" else sorted_windows(texts, reg, length)
+    hit = reg.where("n > 1").select("g", "r1", "r2", F.lit(None).cast("array<long>").alias("offs")).unionByName(
+        reg.where("n = 1").select("g", "r1", "r2").join(some, ["r1", "r2"]))
+    out = materialize(live.select("id", "g", "r1", "r2").join(hit, ["g", "r1", "r2"]).select("id", "r1", "offs"))
+    release(live, reg, some)
     return out
 
 
@@ -411,42 +395,33 @@ def remove_repeats(docs: DataFrame, length: int, unit: str, kept: bool = True) -
     texts = materialize(distinct_texts(docs).withColumn("id", F.monotonically_increasing_id()))
     h = hits(texts, length, unit)
     # a text has no more hits than windows
-    per = materialize(h.groupBy("id").agg(F.collect_list(F.struct("level", "r1", F.coalesce("offs", F.array().cast("array<long>")).alias("offs"))).alias("hs"))
-                      .select("id", F.col("hs.level").alias("ls"), F.col("hs.r1").alias("rs"), F.col("hs.offs").alias("os")))
+    per = materialize(h.groupBy("id").agg(F.collect_list(F.struct("r1", F.coalesce("offs", F.array().cast("array<long>")).alias("offs"))).alias("hs"))
+                      .select("id", F.col("hs.r1").alias("rs"), F.col("hs.offs").alias("os")))
 
     def covered(pdf) -> list[np.ndarray]:
         """Which positions are covered, by text; all of them have hits."""
         syms, sizes, _ = symbols(pdf.text, unit, 1)
         begin = np.cumsum(sizes) - sizes
         d = np.zeros(int(sizes.sum()) + 1, np.int64)
-        for level in sorted({x for ls in pdf.ls for x in ls}):
-            mine = [i for i, ls in enumerate(pdf.ls) if level in ls]
-            offs = {r: o for i in mine for x, r, o in zip(pdf.ls.iat[i], pdf.rs.iat[i], pdf.os.iat[i]) if x == level}
-            if len(mine) == len(pdf):
-                part, shift = syms, 0
-            else:
-                part = [np.concatenate([s[begin[i]:begin[i] + sizes[i]] for i in mine]) for s in syms]
-                shift = (begin[mine] - (np.cumsum(sizes[mine]) - sizes[mine]))
-            a, b, owner, _, r, _ = split(part, sizes[mine], length, unit, level, groups=False)
-            k = np.flatnonzero(np.isin(r[0], np.fromiter(offs, np.int64, len(offs))))
-            a, b, r = a[k], b[k], r[0][k].tolist()
-            if len(mine) < len(pdf):
-                a, b = a + shift[owner[k]], b + shift[owner[k]]
-            partly = np.array([len(offs[x]) > 0 for x in r], bool)
-            np.add.at(d, a[~partly], 1)
-            np.add.at(d, b[~partly] + length, -1)
-            if partly.any():
-                o = [np.asarray(offs[x]) for x, y in zip(r, partly.tolist()) if y]
-                p = np.repeat(a[partly], [len(x) for x in o]) + np.concatenate(o)
-                np.add.at(d, p, 1)
-                np.add.at(d, p + length, -1)
+        offs = {r: o for rs, os in zip(pdf.rs, pdf.os) for r, o in zip(rs, os)}
+        a, b, _, _, r, _ = split(syms, sizes, length, unit, int(unit == "word"), groups=False)
+        k = np.flatnonzero(np.isin(r[0], np.fromiter(offs, np.int64, len(offs))))
+        a, b, r = a[k], b[k], r[0][k].tolist()
+        partly = np.array([len(offs[x]) > 0 for x in r], bool)
+        np.add.at(d, a[~partly], 1)
+        np.add.at(d, b[~partly] + length, -1)
+        if partly.any():
+            o = [np.asarray(offs[x]) for x, y in zip(r, partly.tolist()) if y]
+            p = np.repeat(a[partly], [len(x) for x in o]) + np.concatenate(o)
+            np.add.at(d, p, 1)
+            np.add.at(d, p + length, -1)
         gone = (np.cumsum(d) > 0).astype(np.int8)
         return [gone[x:x + n] for x, n in zip(begin, sizes)]
 
     def make(batches):
         for big in batches:
             for pdf in by_size(big, chars=CHARS):
-                some = pdf.ls.notna().to_numpy()
+                some = pdf.rs.notna().to_numpy()
                 gone = iter(covered(pdf[some])) if some.any() else iter(())
                 out = []
                 for text, hit in zip(pdf.text, some.tolist()):
@@ -459,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int, unit: str, kept: bool = True) -
                 yield pd.DataFrame({"key": pdf.key, "n_units": [x[0] for x in out], "n_removed": [x[1] for x in out], "n_spans": [x[2] for x in out],
                                     "kept": [x[3] if kept else None for x in out], "kept_sha256": [hashlib.sha256(x[3]).hexdigest() for x in out]})
 
-    return texts.join(per, "id", "left").select("key", "text", "ls", "rs", "os").mapInPandas(make, "key binary, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return texts.join(per, "id", "left").select("key", "text", "rs", "os").mapInPandas(make, "key binary, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def _kept(parts, spans, unit: str) -> tuple:

@@ -3,8 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from quarry.llm import repeats
 from quarry.llm.common import text_key
 from quarry.llm.repeats import remove_repeats
 
@@ -43,3 +46,31 @@ def test_against_brute_force(spark, unit, length):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df, 35, "word").count() == 0
+
+
+def shared(rnd):
+    w = lambda n: " ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(n))
+    passage = w(200)
+    return [w(rnd.randrange(5, 80)) + " " + passage[rnd.randrange(90):][:rnd.randrange(300, 500)] + " " + w(rnd.randrange(5, 80)) for _ in range(90)]
+
+
+def test_groups_beyond_the_limit(spark, monkeypatch):
+    """Many different regions of one anchor."""
+    monkeypatch.setattr(repeats, "LIMIT", 8)
+    texts = shared(random.Random(3))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    r = df.select("doc_id", text_key().alias("key")).join(remove_repeats(df, 200, "byte"), "key")
+    got = {x.doc_id: (x.n_units, x.n_removed, x.n_spans, x.kept_sha256) for x in r.collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200, "byte")
+
+
+def test_order_decides(monkeypatch):
+    """Repeats are found by neighbours in suffix order alone: in another order they are not."""
+    texts = [t.encode() for t in shared(random.Random(4))[:20]]
+    pdf = pd.DataFrame({"g": 0, "r1": range(20), "n": 1, "body": texts})
+    find = lambda: {(r, o) for r, os in zip(*repeats.sorted_repeats(pdf, 200).to_dict("list").values()) for o in os}
+    count = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 199) if count[t[i:i + 200]] > 1}
+    assert find() == want and want
+    monkeypatch.setattr(repeats, "suffix_order", lambda sym, sizes: np.random.default_rng(1).permutation(len(sym)))
+    assert len(find()) < len(want) / 2
