@@ -251,7 +251,7 @@ def counted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
 
     level = materialize(asked.mapInPandas(run, "r1 long, r2 long, off long, w1 long, w2 long, n long"))
     again = level.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
-    out = materialize(level.where("off >= 0").join(again, ["w1", "w2"]).groupBy("r1", "r2").agg(F.collect_set("off").alias("offs")))
+    out = materialize(level.where("off >= 0").join(again, ["w1", "w2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("off").alias("offs")))
     release(level)
     return out
 
@@ -357,7 +357,7 @@ def sorted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
     cold = in_order.mapInPandas(classes, "r1 long, offs array<long>")
     one = dealt.where("body is null").select("r1", "n", "off", "w1", "w2")
     again = one.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
-    hot = one.where("off >= 0").join(again, ["w1", "w2"]).groupBy("r1").agg(F.collect_set("off").alias("offs"))
+    hot = one.where("off >= 0").join(again, ["w1", "w2"], "left_semi").groupBy("r1").agg(F.collect_set("off").alias("offs"))
     out = materialize(cold.unionByName(hot).select("r1", F.lit(0).cast("long").alias("r2"), "offs"))
     release(dealt)
     return out
