@@ -256,8 +256,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         # what a star matched stays where the star rejected a text within reach of it
         lost = open_.where((F.col("sim") < SIMILARITY) & (F.col("sim") >= REACH))
         apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost).drop("pop")))
-        if root is None or not found[-1].where(F.col("sim") >= SIMILARITY).isEmpty():
-            root = components(_all(found).where(F.col("sim") >= SIMILARITY))
+        root = joined(root, found[-1].where(F.col("sim") >= SIMILARITY).select("a", "b"))
         # centers have met the whole bucket; so has everyone once all of it were centers
         rest = open_.groupBy("band", F.col("b").alias("id"), "pop").agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
         rest = rest.where((F.coalesce("most", F.lit(0.0)) < SIMILARITY) & (F.col("n") >= CENTERS[r])).select("band", "id", "pop")
@@ -298,14 +297,15 @@ def across(apart: list[DataFrame], edges: DataFrame, root: DataFrame, bags: Data
         good = materialize(with_likeness(materialize(pairs.select(F.col("c").alias("a"), "b").distinct()), bags).where(F.col("sim") >= SIMILARITY))
         if not good.isEmpty():
             edges = materialize(edges.unionByName(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-            root = components(edges)
+            root = joined(root, good.select("a", "b"))
         before = now
     release(lost)
     return edges, root
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: alternating large and small stars until the edges stay the same."""
+    """node, root of every node but the roots: alternating large and small stars until every
+    node has one edge, to a node that has none."""
     cur = materialize(edges.select("a", "b"))
     if cur.isEmpty():
         return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -314,20 +314,33 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         m = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         j = both.join(m, "a")
-        if large:
-            return j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        if large:  # an edge makes one edge at most, so repeats can wait for the small star
+            return j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    def sign(e):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def ended(e):
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
-    was = None
-    while (now := sign(cur)) != was:
-        was = now
+    while True:
         old, mid = cur, materialize(star(cur, True))
         cur = materialize(star(mid, False))
         release(old, mid)
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if ended(cur):
+            return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def joined(root: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components (node, root) of what `root` has joined and of `edges`. Only classes that an
+    edge joins are gone through again."""
+    if root is None:
+        return components(edges)
+    e = with_root(with_root(edges, root, "a"), root, "b").where("a_root <> b_root")
+    top = components(e.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+    if top.isEmpty():
+        return root
+    moved = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left")
+    return materialize(moved.select("node", F.coalesce("up", "root").alias("root")).unionByName(top))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -140,3 +140,23 @@ def test_recall_on_random_near_pairs():
             x = B.bands(B.signatures(bags))
             n, met = n + 1, met + bool((x[0] == x[1]).any())
     assert met / n >= 0.99
+
+
+def test_classes_joined_edge_set_by_edge_set_equal_union_find(spark):
+    rng = random.Random(5)
+    sets = [[(i, i + 1) for i in range(0, 9)], [(9, 40), (41, 42), (3, 3 + 50)], [(rng.randrange(200), rng.randrange(200)) for _ in range(60)]]
+    sets[2] = [(a, b) for a, b in sets[2] if a != b]
+    up, root = {}, None
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+    for edges in sets:
+        root = B.joined(root, spark.createDataFrame(edges, "a long, b long"))
+        for a, b in edges:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+        got = {r.node: r.root for r in root.collect()}
+        assert len(got) == root.count()
+        assert {n: got.get(n, n) for n in range(200)} == {n: top(n) for n in range(200)}
