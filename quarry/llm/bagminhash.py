@@ -10,15 +10,18 @@ later than all parts, which is early for all but the first shingles of a text.
 Signing reads the documents where they lie and keeps the bands alone; texts move once
 more, for the bags of those that share a bucket. Different texts get an 8-byte id.
 
-Bands of the signature give candidates. In every round a bucket has a few centers (those
-that meet most others in all bands, CENTERS by round); members are compared with them, not
-with each other, and the exact similarity is checked. Members that no center matches form
-the next round's bucket, until none has two or all are one class. A pair that a center
-pulls apart (it matches b and rejects c) is checked too, unless b and c are in one class by
-other links or the triangle inequality of the distance (1 - similarity, a metric) rules it
-out: d(b, c) >= d(a, c) - d(a, b). No pair is checked twice. So every pair of a bucket is
-verified, in one class or proven less similar. Classes are the connected components of
-verified links. Texts that are alike but not near each other are compared in pairs.
+Bands of the signature give candidates. A bucket has a center, the member that meets most
+others in all bands; members are compared with it, not with each other, and the exact
+similarity is checked. Members that it matches are in one class. Of the others of a center
+(those of all its buckets together) a pair is left if it is of two classes so far. In groups
+of FEW such pairs are checked, unless the triangle inequality of the distance (1 -
+similarity, a metric) rules them out. In larger ones the members' differences from the
+center are joined: two near texts differ by at most JOIN of their sizes' sum, so that of a
+pair with one end that the center rejects the differences must share an element. Elements are
+ordered by how many members have them, rarest first; a pair is checked only if it shares an
+element among the first ones and enough can still follow (prefix and positional filter of set
+joins, both without loss). So every pair of a bucket is verified, in one class or proven less
+similar. Classes are the connected components of verified links.
 
 A center's bag is sent once per DEAL of its pairs, so a center of very many members is
 spread over tasks.
@@ -38,11 +41,10 @@ from .repeats import mix, step, symbols_of, words
 
 BANDS, ROWS, WORDS, SIMILARITY = 28, 5, 5, 0.8
 PARTS = BANDS * ROWS
-#: Under this similarity to a center no text is near another one that matches the center.
-REACH = 2 * SIMILARITY - 1 - 1e-9
-CENTERS = (1, 16, 256)  # centers of a bucket by round; the last number stays
+#: Near texts of n and m shingles differ by at most JOIN * (n + m) of them.
+JOIN = (1 - SIMILARITY) / (1 + SIMILARITY)
+FEW = 16  # members of a center up to which all their pairs of two classes are checked
 DEAL = 256
-SQUARES = (4, 32, 256)  # parts of 256 of the rejected and of the matched texts that meet by round
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,10 +126,10 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays with repeats; 0 where it is surely below REACH."""
+    """Weighted Jaccard of two sorted arrays with repeats."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) == 0 or len(a) < REACH * len(b):
+    if len(b) == 0:
         return 0.0
     left = np.searchsorted(b, a, "left")
     rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
@@ -135,6 +137,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def difference(center: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    """Elements of bag that center lacks and the reverse, repeats numbered, as hashes."""
+    def numbered(x):
+        with np.errstate(over="ignore"):
+            return mix(x + (np.arange(len(x)) - np.searchsorted(x, x, "left")).astype(np.uint64) * GOLD)
+    a, b = numbered(center), numbered(bag)
+    return np.concatenate([np.setdiff1d(b, a), ~np.setdiff1d(a, b)]).view(np.int64)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """_row (the whole row), key, and last, did, h: the place that orders the rows of a text."""
     return docs.select(whole_row(docs).alias("_row"), text_key().alias("key"), F.col("doc_id").isNull().alias("last"),
@@ -187,9 +198,11 @@ def bags_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows_of(docs, texts, "id").select("id", F.col("_row.text").alias("text")).mapInPandas(run, "id long, bag binary")
 
 
-def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """a, b, sim of different pairs (a, b) by the bags (id, bag). The members' bags go to their
-    center, whose own bag comes first."""
+def beside_centers(pairs: DataFrame, bags: DataFrame, schema: str, make) -> DataFrame:
+    """a, b and make(bag of a, bag of b) of different pairs (a, b) by the bags (id, bag). The
+    members' bags go to their center, whose own bag comes first."""
+    cols = ["a", "b", *[c.split()[0] for c in schema.split(", ")]]
+
     def run(batches):
         center, mine = None, None
         for pdf in batches:
@@ -198,17 +211,22 @@ def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
                 if a == b:
                     center, mine = np.frombuffer(x, np.uint64), (a, s)
                 elif mine == (a, s):
-                    keep.append((a, b, similarity(center, np.frombuffer(x, np.uint64))))
+                    keep.append((a, b, *make(center, np.frombuffer(x, np.uint64))))
                 else:
                     raise ValueError("a center is missing")
-            yield pd.DataFrame(keep, columns=["a", "b", "sim"])
+            yield pd.DataFrame(keep, columns=cols)
 
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deals"))
     member = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).alias("deal"))
     both = member.unionByName(n.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal")))
     rows = both.join(bags, both.b == bags.id).select("a", "b", "deal", "bag")
     rows = rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("a") != F.col("b"))
-    return rows.mapInPandas(run, "a long, b long, sim double")
+    return rows.mapInPandas(run, f"a long, b long, {schema}")
+
+
+def with_likeness(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """a, b, sim of different pairs (a, b)."""
+    return beside_centers(pairs, bags, "sim double", lambda a, b: (similarity(a, b),))
 
 
 def popular(members: DataFrame) -> DataFrame:
@@ -221,17 +239,11 @@ def popular(members: DataFrame) -> DataFrame:
     return out
 
 
-def starred(members: DataFrame, centers: int) -> DataFrame:
-    """band, a, b: members (band, id, pop) of buckets with two or more against their most
-    popular ones. In a group of edits of one text, that text meets most of the others."""
-    if centers == 1:
-        top = members.groupBy("band").agg(F.max(F.struct("pop", -F.col("id"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        top = top.select("band", (-F.col("top.col2")).alias("a"), F.col("top.pop").alias("most"))
-    else:
-        # the first ranks are cut before the shuffle
-        first = Window.partitionBy("band").orderBy(F.desc("pop"), "id")
-        top = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= centers).select("band", F.col("id").alias("a"), F.col("pop").alias("most"))
-    return materialize(members.join(top, "band").where("pop < most or (pop = most and id > a)").select("band", "a", F.col("id").alias("b"), "pop"))
+def starred(members: DataFrame) -> DataFrame:
+    """a, b: members (band, id, pop) of buckets with two or more against their most popular one.
+    In a group of edits of one text, that text meets most of the others."""
+    top = members.groupBy("band").agg(F.max(F.struct("pop", -F.col("id"))).alias("top"))
+    return materialize(members.join(top.select("band", (-F.col("top.col2")).alias("a")), "band").where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
 
 def with_root(df: DataFrame, root: DataFrame, col: str) -> DataFrame:
@@ -243,64 +255,65 @@ def with_root(df: DataFrame, root: DataFrame, col: str) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b), a < b, between ids of different texts, and their components (node, root)."""
     members = popular(signed.select("id", F.explode("bands").alias("band")))
-    open_ = starred(members, CENTERS[0])
+    pairs = starred(members)
+    if pairs.isEmpty():
+        return pairs, components(pairs)
     bags = materialize(bags_table(docs, signed.join(members.select("id").distinct(), "id", "left_semi")))
-    found, apart, r, root = [], [], 0, None
-    while not open_.isEmpty():
-        pairs = open_.select("a", "b").distinct()
-        if root is not None:  # of one class already: nothing to find
-            pairs = with_root(with_root(pairs, root, "a"), root, "b").where("a_root <> b_root").select("a", "b").join(_all(found), ["a", "b"], "left_anti")
-        found.append(materialize(with_likeness(pairs, bags)))
-        was, open_ = open_, materialize(open_.join(_all(found), ["a", "b"], "left").select("band", "a", "b", "pop", "sim"))
-        release(was)
-        # what a star matched stays where the star rejected a text within reach of it
-        lost = open_.where((F.col("sim") < SIMILARITY) & (F.col("sim") >= REACH))
-        apart.append(materialize(open_.where(F.col("sim") >= SIMILARITY).join(lost.select("band", "a").distinct(), ["band", "a"], "left_semi").unionByName(lost).drop("pop")))
-        root = joined(root, found[-1].where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        # centers have met the whole bucket; so has everyone once all of it were centers
-        rest = open_.groupBy("band", F.col("b").alias("id"), "pop").agg(F.max("sim").alias("most"), F.count(F.lit(1)).alias("n"))
-        rest = rest.where((F.coalesce("most", F.lit(0.0)) < SIMILARITY) & (F.col("n") >= CENTERS[r])).select("band", "id", "pop")
-        rest = materialize(with_root(rest, root, "id"))
-        # a bucket of one class has nothing to find either
-        mixed = rest.groupBy("band").agg(F.min("id_root").alias("low"), F.max("id_root").alias("high")).where("low <> high").select("band")
-        r = min(r + 1, len(CENTERS) - 1)
-        was, open_ = open_, starred(rest.join(mixed, "band", "left_semi").select("band", "id", "pop"), CENTERS[r])
-        release(was, rest)
-    if root is None:
-        return open_.select("a", "b"), components(open_)
-    out = _all(found).where(F.col("sim") >= SIMILARITY)
-    out = materialize(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    out, root = across(apart, out, root, bags)
-    release(bags, *found, *apart)
-    return out, root
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    star = materialize(with_likeness(pairs, bags))
+    root = components(star.where(F.col("sim") >= SIMILARITY))
+    met = materialize(with_root(star, root, "b"))
+    # members of one class have no more to find among them
+    mixed = met.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b_root").alias("low"), F.max("b_root").alias("high")).where("low <> high").select("a", "n")
+    left = materialize(met.join(mixed, "a"))
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(few_pairs(left.where(F.col("n") <= FEW)).unionByName(near_differences(left.where(F.col("n") > FEW), bags)).distinct().join(known, ["a", "b"], "left_anti"))
+    good = materialize(with_likeness(more, bags).where(F.col("sim") >= SIMILARITY).select("a", "b"))
+    edges = materialize(star.where(F.col("sim") >= SIMILARITY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(good).distinct())
+    root = joined(root, good)
+    release(members, pairs, bags, star, met, left, more)
+    return edges, root
 
 
-def across(apart: list[DataFrame], edges: DataFrame, root: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those between texts that a center rejected and those that it
-    matched. Few of both meet first, then more (SQUARES); pairs whose classes have become one
-    are dropped, and of the others none is left out in the end."""
-    both, place = _all(apart), lambda c: F.pmod(F.xxhash64(c), F.lit(SQUARES[-1])).alias(f"h{c}")
-    lost = materialize(both.where(F.col("sim") < SIMILARITY).select("band", "a", F.col("b").alias("c"), F.col("sim").alias("low")).withColumn("hc", place("c")))
-    kept = both.where(F.col("sim") >= SIMILARITY).select("band", "a", "b", "sim", place("b"))
-    before = 0
-    for now in SQUARES:
-        todo = with_root(with_root(lost.where(F.col("hc") < now), root, "a"), root, "c").where("a_root <> c_root").drop("a_root", "c_root")
-        # d(a, c) - d(a, b) <= 1 - SIMILARITY
-        pairs = todo.join(kept.where(F.col("hb") < now), ["band", "a"]).where((F.col("sim") - F.col("low") <= 1 - SIMILARITY + 1e-9) & (F.greatest("hb", "hc") >= before))
-        good = materialize(with_likeness(materialize(pairs.select(F.col("c").alias("a"), "b").distinct()), bags).where(F.col("sim") >= SIMILARITY))
-        if not good.isEmpty():
-            edges = materialize(edges.unionByName(good.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-            root = joined(root, good.select("a", "b"))
-        before = now
-    release(lost)
-    return edges, root
+def few_pairs(left: DataFrame) -> DataFrame:
+    """a, b, a < b: pairs of two classes among the members of one center that may be near."""
+    x, y = left.select("a", F.col("b").alias("x"), F.col("b_root").alias("xr"), F.col("sim").alias("xs")), left.select("a", "b", "b_root", "sim")
+    # d(x, b) >= |d(a, x) - d(a, b)|
+    return x.join(y, "a").where((F.col("x") < F.col("b")) & (F.col("xr") != F.col("b_root")) & (F.abs(F.col("xs") - F.col("sim")) <= 1 - SIMILARITY + 1e-9)).select(F.col("x").alias("a"), "b")
+
+
+def near_differences(left: DataFrame, bags: DataFrame) -> DataFrame:
+    """The same for centers of many members, by a join of the members' differences from them.
+
+    Let x, y be near, of n and m shingles, with differences X, Y from a center of k. Their
+    differences share at least o = (|X| + |Y| - JOIN (n + m)) / 2 elements. One of them, say
+    x, is rejected by the center: |X| > JOIN (n + k), so o > 0. As |Y| >= |m - k|, o is at
+    least (|X| - JOIN (n + k)) / 2; for a matched y it is more than (|Y| + JOIN (k - m)) / 2.
+    As m <= n / SIMILARITY, o >= |X| - T for the larger difference X and >= |X| - T / 2
+    for the smaller, T being JOIN (n + n / SIMILARITY). So the first |X| - o + 1 elements of
+    both in one order share one, and after the first shared one o - 1 more must follow."""
+    def make(a, b):
+        return len(a), len(b), difference(a, b)
+
+    diff = materialize(beside_centers(left.select("a", "b"), bags, "k long, n long, diff array<long>", make))
+    each = diff.select("a", "b", F.explode("diff").alias("e"))
+    shared = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # elements of one member come first and meet no other
+    lists = each.join(shared, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    k, n, size = F.col("k"), F.col("n"), F.col("size")
+    bound = F.when(F.col("sim") >= SIMILARITY, size + JOIN * (k - n)).otherwise(size - JOIN * (n + k)) / 2
+    widest = JOIN * (n + n / SIMILARITY)
+    first = lambda o: size - F.greatest(F.lit(1), F.ceil(o - 1e-6)) + 1
+    mine = lists.join(diff.select("a", "b", "k", "n", F.size("diff").alias("size")), ["a", "b"]).join(left.select("a", "b", "sim", "b_root"), ["a", "b"])
+    mine = mine.withColumn("as_large", first(F.greatest(bound, size - widest))).withColumn("as_small", first(F.greatest(bound, size - widest / 2)))
+    mine = mine.withColumn("skip", size - F.size("es"))
+    front = F.slice("es", 1, F.greatest(F.lit(0), F.least(F.size("es"), F.greatest("as_large", "as_small") - F.col("skip"))).cast("int"))
+    flat = mine.select("a", "b", "n", "size", "b_root", "skip", "as_large", "as_small", F.posexplode(front).alias("at", "s"))
+    flat = materialize(flat.select("a", "b", "n", "size", "b_root", "as_large", "as_small", (F.col("at") + F.col("skip")).alias("at"), F.col("s.e").alias("e")))
+    x = flat.where("at < as_large").select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "size", "b_root", "at")])
+    y = flat.where("at < as_small").select("a", "e", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "size", "b_root", "at")])
+    met = x.join(y, ["a", "e"]).where("x_b_root <> y_b_root and (x_size > y_size or (x_size = y_size and x_b > y_b))").where(
+        F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= (F.col("x_size") + F.col("y_size") - JOIN * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-6)
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -160,3 +160,35 @@ def test_classes_joined_edge_set_by_edge_set_equal_union_find(spark):
         got = {r.node: r.root for r in root.collect()}
         assert len(got) == root.count()
         assert {n: got.get(n, n) for n in range(200)} == {n: top(n) for n in range(200)}
+
+
+def test_alike_texts_that_are_not_near_are_not_compared_in_pairs(spark, monkeypatch):
+    """Edits of one text that it rejects, some with a near copy: all links are found, and the
+    compared pairs do not grow with the square of the group."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edit(t, k):
+        t = list(t)
+        for i in rnd.sample(range(len(t)), k):
+            t[i] = rnd.choice(words)
+        return t
+
+    base = [rnd.choice(words) for _ in range(300)]
+    far = [edit(base, 12) for _ in range(300)]
+    texts = [" ".join(t) for t in [base, *far, *[edit(t, 2) for t in far[:20]], *[edit(base, 3) for _ in range(20)]]]
+    bags, root = [bag(t) for t in texts], list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    compared, check = [], B.with_likeness
+    monkeypatch.setattr(B, "FEW", 2, raising=False)
+    monkeypatch.setattr(B, "with_likeness", lambda pairs, bags: compared.append(pairs.count()) or check(pairs, bags))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r._row.doc_id: r.class_id for r in B.with_class(df).collect()} == {i: find(i) for i in range(len(texts))}
+    assert len({find(i) for i in range(len(texts))}) > 250
+    assert sum(compared) < 10 * len(texts), compared
