@@ -16,7 +16,8 @@ Bytes, by suffix order: the anchors have half of the length. All different regio
 anchor that repeats are put in one block, whose suffixes are sorted by Lyndon groups
 (lyndon.py); neighbours in suffix order whose common prefix, compared byte by byte, reaches
 the window's length are repeats, and nothing else is. A group of more than LIMIT regions is
-split by the bytes next to the anchor, to groups of one window each, which need no order.
+split by the bytes next to the anchor, to groups of about ten windows and, where these differ,
+of one window each, which need no order.
 
 Hashes of windows have 128 bits where they decide; others only select candidates.
 
@@ -25,6 +26,7 @@ copies of a text at least one window long lose everything; repeated rows count a
 other columns are ignored; an empty table gives an empty result.
 """
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -300,14 +302,14 @@ def sorted_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def sorted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
     """r1, r2, offs: the repeated windows of byte regions that occur once: by suffix order, and
-    in groups of more than LIMIT regions by the windows themselves."""
+    in groups of more than LIMIT regions by blocks of windows and the windows themselves."""
     asked = with_texts(texts, reg.where("more").withColumn("hot", F.col("m") > LIMIT), "r1", "n", "hot")
 
     def bodies(batches):
         for big in batches:
             for pdf in by_size(big, chars=CHARS):
                 syms, sizes, parts = symbols(pdf.text, "byte")
-                a, b, _, g, r, w = split(syms, sizes, length, "byte", 0)
+                a, b, _, g, r, _ = split(syms, sizes, length, "byte", 0)
                 ask, at = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf.r1s]), return_index=True)
                 ns, hots = (np.concatenate([np.asarray(x) for x in pdf[c]])[at] for c in ("ns", "hots"))
                 _, k = np.unique(r[0], return_index=True)
@@ -315,16 +317,8 @@ def sorted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
                 if not len(k):
                     continue
                 i = np.searchsorted(ask, r[0][k])
-                n, hot, data = ns[i], hots[i].astype(bool), b"".join(parts)
-                c = k[~hot]
-                yield pd.DataFrame({"g": g[c], "r1": r[0][c], "n": n[~hot], "body": [data[x:y + length] for x, y in zip(a[c], b[c])], "off": 0, "w1": 0, "w2": 0})
-                c = k[hot]
-                if len(c):
-                    other = windows(mix(syms[0] ^ GOLD), length).view(np.int64)
-                    m = b[c] - a[c] + 1
-                    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    p, n = np.repeat(a[c], m) + off, np.repeat(n[hot], m)
-                    yield pd.DataFrame({"g": np.repeat(g[c], m), "r1": np.repeat(r[0][c], m), "n": n, "body": None, "off": np.where(n == 1, off, -1), "w1": w[0][p], "w2": other[p]})
+                data = b"".join(parts)
+                yield pd.DataFrame({"g": g[k], "r1": r[0][k], "n": ns[i], "body": [data[x:y + length] for x, y in zip(a[k], b[k])], "hot": hots[i].astype(bool)})
 
     def classes(batches):
         held = None
@@ -352,17 +346,69 @@ def sorted_windows(texts: DataFrame, reg: DataFrame, length: int) -> DataFrame:
             yield sorted_repeats(pdf.iloc[done:k], length)
             done = k
 
-    dealt = materialize(asked.mapInPandas(bodies, "g long, r1 long, n long, body binary, off long, w1 long, w2 long"))
-    in_order = dealt.where("body is not null").select("g", "r1", "n", "body").repartition("g").sortWithinPartitions("g", "r1")
+    dealt = materialize(asked.mapInPandas(bodies, "g long, r1 long, n long, body binary, hot boolean"))
+    in_order = dealt.where("not hot").select("g", "r1", "n", "body").repartition("g").sortWithinPartitions("g", "r1")
     cold = in_order.mapInPandas(classes, "r1 long, offs array<long>")
-    one = dealt.where("body is null").select("r1", "n", "off", "w1", "w2")
-    again = one.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
-    hot = one.where("off >= 0").join(again, ["w1", "w2"], "left_semi").groupBy("r1").agg(F.collect_set("off").alias("offs"))
-    out = materialize(cold.unionByName(hot).select("r1", F.lit(0).cast("long").alias("r2"), "offs"))
+    out = materialize(cold.unionByName(hot_repeats(dealt.where("hot"), length)).select("r1", F.lit(0).cast("long").alias("r2"), "offs"))
     release(dealt)
     return out
 
 
+def cut(bodies, length: int):
+    """Hashes of all windows (two of each), and per block of the regions `bodies`: its region,
+    its number, core, first and last window. A block is a range of places of the anchor in the
+    window, the same for all regions; the core is what all windows of the whole block share."""
+    top = length - short_of(length, "byte")
+    wide = max(1, math.isqrt(top + 1))
+    sym, sizes = BYTES[np.frombuffer(b"".join(bodies), np.uint8)], np.array([len(x) for x in bodies], np.int64)
+    first, last, anchor, owner, _ = runs(sym, sizes, length, short_of(length, "byte"))  # one per region
+    core, out = windows(sym, length - wide + 1), []
+    for lo in range(0, top + 1, wide):
+        x, y = np.maximum(first, anchor - min(lo + wide - 1, top)), np.minimum(last, anchor - lo)
+        k = np.flatnonzero(x <= y)
+        out.append((owner[k], np.full(len(k), lo), core[anchor[k] - lo].view(np.int64), x[k], y[k]))
+    return [windows(sym, length), windows(mix(sym ^ GOLD), length)], np.cumsum(sizes) - sizes, [np.concatenate(c) for c in zip(*out)]
+
+
+def hot_repeats(dealt: DataFrame, length: int) -> DataFrame:
+    """r1, offs of the regions (g, r1, n, body) of large groups that occur once. A block that
+    repeats as a whole has no window that does not, one whose core occurs in no other block has
+    none that does; only the others are split into windows, one row per different block."""
+    def blocks(batches):
+        for big in batches:
+            for pdf in by_size(big, "body", CHARS, 4096):
+                w, begin, (who, lo, core, x, y) = cut(pdf.body, length)
+                with np.errstate(over="ignore"):  # two windows cover the block's text
+                    p = [mix(h[x] * GOLD + h[y] + mix((y - x + 1).astype(np.uint64))).view(np.int64) for h in w]
+                yield pd.DataFrame({**{c: pdf[c].to_numpy()[who] for c in ("g", "r1", "n")}, "lo": lo, "core": core, "p1": p[0], "p2": p[1], "off": x - begin[who], "m": y - x + 1})
+
+    def singles(batches):
+        for big in batches:
+            for pdf in by_size(big, "body", CHARS, 4096):
+                w, begin, (who, lo, _, x, y) = cut(pdf.body, length)
+                ask = [{b["lo"]: b["t"] for b in bs} for bs in pdf.blocks]
+                t = np.array([ask[i].get(b, 0) for i, b in zip(who.tolist(), lo.tolist())], np.int64)
+                k = np.flatnonzero(t)
+                m = y[k] - x[k] + 1
+                p = np.repeat(x[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                n, of = np.repeat(t[k], m), np.repeat(who[k], m)
+                yield pd.DataFrame({"r1": pdf.r1.to_numpy()[of], "n": n, "off": np.where(n == 1, p - begin[of], -1), "w1": w[0][p].view(np.int64), "w2": w[1][p].view(np.int64)})
+
+    group, part = ["g", "lo", "core"], ["g", "lo", "core", "p1", "p2"]
+    level = materialize(dealt.drop("hot").mapInPandas(blocks, "g long, r1 long, n long, lo long, core long, p1 long, p2 long, off long, m long"))
+    parts = materialize(level.groupBy(*part).agg(F.sum("n").alias("t"), F.min("r1").alias("r1")))
+    whole = level.where("n = 1").join(parts.where("t > 1").select(*part), part, "left_semi").select("r1", F.expr("sequence(off, off + m - 1)").alias("offs"))
+    mixed = parts.join(parts.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*group), group, "left_semi")
+    # a region has no more blocks than places of the anchor
+    asked = mixed.groupBy("r1").agg(F.collect_list(F.struct("lo", "t")).alias("blocks"))
+    one = materialize(dealt.select("r1", "body").join(asked, "r1").mapInPandas(singles, "r1 long, n long, off long, w1 long, w2 long"))
+    again = one.groupBy("w1", "w2").agg(F.sum("n").alias("t")).where("t > 1").select("w1", "w2")
+    some = one.where("off >= 0").join(again, ["w1", "w2"], "left_semi").groupBy("r1").agg(F.collect_list("off").alias("offs"))
+    out = materialize(whole.unionByName(some).groupBy("r1").agg(F.array_distinct(F.flatten(F.collect_list("offs"))).alias("offs")))
+    release(level, parts, one)
+    return out
+
+
 def regions_of(live: DataFrame) -> DataFrame:
     """g, r1, r2, n, id (a text that has it), m (regions of the group), more (m > 1)."""
     reg = live.groupBy("g", "r1", "r2").agg(F.sum("n").alias("n"), F.min("id").alias("id"))

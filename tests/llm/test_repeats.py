@@ -74,3 +74,37 @@ def test_order_decides(monkeypatch):
     assert find() == want and want
     monkeypatch.setattr(repeats, "suffix_order", lambda sym, sizes: np.random.default_rng(1).permutation(len(sym)))
     assert len(find()) < len(want) / 2
+
+
+def test_regions_of_large_groups_are_split_where_they_differ_alone(spark):
+    """Regions of one anchor with different ends: the windows of blocks that repeat as a whole
+    make no rows of their own."""
+    rnd = random.Random(5)
+    w = lambda n: bytes(rnd.choice(b"abcdefghijklmnop") for _ in range(n))
+    core = w(299)
+    bodies = [w(x) + core[x:299 - y] + w(y) for x, y in [(rnd.randrange(45), rnd.randrange(45)) for _ in range(60)]]
+    n = 200
+    short = repeats.short_of(n, "byte")
+    keep = []
+    for b in bodies:
+        sym = repeats.BYTES[np.frombuffer(b, np.uint8)]
+        first, last, at, _, _ = repeats.runs(sym, np.array([len(b)]), n, short)
+        keep += [(b[x:y + n], b[p:p + short]) for x, y, p in zip(first, last, at)]
+    anchor = Counter(a for _, a in keep).most_common(1)[0][0]
+    texts = sorted({b for b, a in keep if a == anchor})
+    assert len(texts) > repeats.LIMIT
+    count = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1))
+    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - n + 1) if count[t[i:i + n]] > 1}
+    df = spark.createDataFrame([(1, k, 1, t, True) for k, t in enumerate(texts)], "g long, r1 long, n long, body binary, hot boolean")
+    rows, write = {}, repeats.materialize
+
+    def counted(table):
+        out = write(table)
+        rows[",".join(out.columns)] = out.count()
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(repeats, "materialize", counted)
+        got = {(r.r1, o) for r in repeats.hot_repeats(df, n).collect() for o in r.offs}
+    assert got == want and want
+    assert rows["r1,n,off,w1,w2"] < sum(len(t) - n + 1 for t in texts) / 2, rows
