@@ -191,7 +191,7 @@ def huffman_store(docs: DataFrame, tokenizer: str, path: str) -> None:
         yield pd.DataFrame({"id": at, "n": total[at]})
 
     spark, kind = docs.sparkSession, "<u2" if load(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
-    in_order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    in_order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
     raw = materialize(in_order.mapInPandas(encode, "part int, doc_id long, before long, n_tokens long, ids binary"))
     # at most the vocabulary's size in rows
     book = raw.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
