@@ -5,6 +5,11 @@ chunks share, MARGIN characters away from the earlier chunk's end, is proven sta
 the pre-tokenizer reads left to right, so from there on both see the same text. The
 chunks are spliced there; where none is shared the overlap is doubled.
 
+For op1 the words of the pre-tokenizer are cut by the same pattern over a stated alphabet, where
+\\p{L}, \\p{N} and \\s need no tables, and the library encodes each different word of a process once
+(`Words`). Texts with other characters or added tokens, and other kinds of tokenizers, are
+encoded whole.
+
 A stored file is a folder: `book` holds the code (id, length), `parts` the documents (part,
 doc_id, start, n_tokens, bits, checkpoints) in one folder per range of doc_ids, each in
 ascending order. Nothing else is needed to read it. Every block of BLOCK ids starts at a
@@ -13,7 +18,10 @@ checkpoint, a bit offset of 64 bits, so that blocks decode alone.
 Defined cases: null is the empty text with no tokens; repeated rows count separately;
 other columns are ignored; an empty table gives no rows.
 """
+import json
+import re
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +31,11 @@ from .common import by_size, documents, materialize, release, shared_dir
 
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 32
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
+LETTERS, DIGITS, SPACES, MARKS = "A-Za-zÀ-ÖØ-öø-ſЀ-ҁ", "0-9", r"\t\n\r\x20", r"!-/:-@\[-`{-~¡§«°»¿‐-‧€"
+PLAIN = re.compile(f"[{LETTERS}{DIGITS}{SPACES}{MARKS}]*")
+WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[{MARKS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+BREAK = re.compile("[!-~](?= )")  # a word always ends between these two
+KEPT_WORDS, KEPT_CHARS = 1 << 20, 64  # about 150 MB a process
 
 
 def load(path: str):
@@ -79,6 +92,53 @@ def encode_texts(tok, texts) -> list[list[int]]:
     return [encode_long(tok, t) if o is None else o for t, o in zip(texts, out)]
 
 
+class Words(dict):
+    """Ids of a word as bytes of `kind`, asked of the library when first met. Long words are not
+    kept, and all are forgotten when KEPT_WORDS are."""
+    def __init__(self, path: str, kind: str):
+        self.tok, self.kind = load(path), kind
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                     and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        if self.cuts:
+            self.pre, self.model = self.tok.pre_tokenizer.pre_tokenize_str, self.tok.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        # printable ASCII but the space stands for itself in the byte-level alphabet
+        pieces = [word.replace(" ", "Ġ")] if word.isascii() and word.isprintable() else [p for p, _ in self.pre(word)]
+        ids = np.array([t.id for p in pieces for t in self.model(p)], self.kind).tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, texts) -> list[bytes]:
+        texts, of = [t or "" for t in texts], self.__getitem__
+        whole = [i for i, t in enumerate(texts) if not (self.cuts and PLAIN.fullmatch(t)) or any(a in t for a in self.added)]
+        out = dict(zip(whole, encode_texts(self.tok, [texts[i] for i in whole])))
+        return [np.array(out[i], self.kind).tobytes() if i in out else b"".join(b"".join(map(of, WORDS.findall(s))) for s in _stretches(t))
+                for i, t in enumerate(texts)]
+
+
+def _stretches(text: str):
+    """The text in parts of about CHUNK characters that end where a word does."""
+    start = 0
+    while len(text) - start > CHUNK and (m := BREAK.search(text, start + CHUNK)):
+        yield text[start:m.end()]
+        start = m.end()
+    yield text[start:]
+
+
+@lru_cache(2)
+def words_of(path: str, kind: str) -> Words:
+    """One for all tasks of a process."""
+    return Words(path, kind)
+
+
 def _quiet():
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,35 +194,48 @@ def canonical(ids: np.ndarray, lengths: np.ndarray):
     return codes, sym, ln
 
 
-def pack(codes: np.ndarray, lens: np.ndarray):
-    """Bits of the codes as bytes, and the bit offset at which every block starts."""
-    ends = np.cumsum(lens)
-    pos = ends - lens
-    buf = np.zeros(int(ends[-1]) // 8 + 4, np.uint8)
-    v = codes << (24 - lens - (pos & 7))
-    for k in range(3):
-        np.bitwise_or.at(buf, (pos >> 3) + k, ((v >> (16 - 8 * k)) & 255).astype(np.uint8))
-    return buf[:(int(ends[-1]) + 7) // 8].tobytes(), pos[::BLOCK].astype("<u8").tobytes()
+def pack(codes: np.ndarray, lens: np.ndarray, counts: np.ndarray):
+    """Of each document (`counts` codes, 1 at least): the bits as bytes, and the bit offset at which
+    every block starts. Documents begin at words of 32 bits while they are packed."""
+    ends, last = np.cumsum(lens), np.cumsum(counts)
+    first = last - counts
+    begin = ends[first] - lens[first]
+    bits = ends[last - 1] - begin
+    words = (bits + 31) // 32
+    word = np.cumsum(words) - words
+    rel = ends - lens - np.repeat(begin, counts)
+    pos = rel + np.repeat(word * 32, counts)
+    v = codes.astype(np.uint64) << (64 - lens - (pos & 31)).astype(np.uint64)
+    at = pos >> 5
+    runs = np.flatnonzero(np.diff(at, prepend=-1))
+    sums, at = np.add.reduceat(v, runs), at[runs]  # codes share no bit, so adding is or
+    buf = np.zeros(int(words.sum()) + 1, np.uint64)
+    buf[at] = sums >> np.uint64(32)
+    buf[at + 1] += sums & np.uint64(0xFFFFFFFF)
+    data = buf.astype(">u4").tobytes()
+    return ([data[4 * w:4 * w + (b + 7) // 8] for w, b in zip(word.tolist(), bits.tolist())],
+            [rel[a:z:BLOCK].astype("<u8").tobytes() for a, z in zip(first.tolist(), last.tolist())])
 
 
 def unpack(payloads, checkpoints, counts, sym, ln) -> list[np.ndarray]:
     """Decode all blocks side by side; each starts at its own checkpoint."""
     base = np.cumsum([0] + [len(p) for p in payloads[:-1]]) * 8
-    data = np.frombuffer(b"".join(payloads) + b"\0\0\0\0", np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(payloads) + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    ahead = data[:-2] << 16 | data[1:-1] << 8 | data[2:]  # 24 bits from every byte on
     pos = np.concatenate([np.frombuffer(c, "<u8").astype(np.int64) + b for c, b in zip(checkpoints, base)])
     left = np.concatenate([np.minimum(BLOCK, n - np.arange(0, n, BLOCK)) for n in counts])
-    out = np.zeros((len(pos), BLOCK), np.uint32)
-    live = np.arange(len(pos))
-    for i in range(BLOCK):
-        live = live[left[live] > i]
-        if not len(live):
-            break
-        p = pos[live]
-        b = p >> 3
-        w = ((data[b] << 16 | data[b + 1] << 8 | data[b + 2]) >> (8 - (p & 7))) & 0xFFFF
-        out[live, i] = sym[w]
-        pos[live] = p + ln[w]
-    flat = out.ravel()[(np.arange(BLOCK) < left[:, None]).ravel()]
+    order = np.argsort(-left, kind="stable")  # the longest first: those still open are a prefix
+    pos, table = pos[order], sym.astype(np.int64) << 5 | ln
+    live = np.searchsorted(-left[order], -np.arange(int(left.max())), side="left")
+    out = np.zeros((BLOCK, len(pos)), np.uint32)
+    for i, k in enumerate(live.tolist()):
+        p = pos[:k]
+        e = table[ahead[p >> 3] >> (8 - (p & 7)).astype(np.uint32) & 0xFFFF]
+        out[i, :k] = e >> 5
+        p += e & 31
+    back = np.empty((len(pos), BLOCK), np.uint32)
+    back[order] = out.T
+    flat = back.ravel()[(np.arange(BLOCK) < left[:, None]).ravel()]
     return np.split(flat, np.cumsum(counts)[:-1])
 
 
@@ -171,13 +244,15 @@ def huffman_store(docs: DataFrame, tokenizer: str, path: str) -> None:
     def encode(batches):
         from pyspark import TaskContext
         _quiet()
-        tok, part, before = load(tokenizer), TaskContext.get().partitionId(), 0
+        words, end = words_of(tokenizer, kind), np.array([END_ID], kind).tobytes()
+        part, before = TaskContext.get().partitionId(), 0
         for big in batches:
             for pdf in by_size(big, chars=500_000, rows=128):
                 rows = []
-                for d, x in zip(pdf.doc_id, encode_texts(tok, pdf.text)):
-                    rows.append((part, d, before, len(x) + 1, np.array(x + [END_ID], "<u4").astype(kind).tobytes()))
-                    before += len(x) + 1
+                for d, x in zip(pdf.doc_id, words.encode(pdf.text)):
+                    n = len(x) // len(end) + 1
+                    rows.append((part, d, before, n, x + end))
+                    before += n
                 yield pd.DataFrame(rows, columns=["part", "doc_id", "before", "n_tokens", "ids"])
 
     def count(batches):
@@ -209,10 +284,10 @@ def huffman_store(docs: DataFrame, tokenizer: str, path: str) -> None:
 
     def store(batches):
         for big in batches:
-            for i in range(0, len(big), 1024):
-                pdf = big.iloc[i:i + 1024]
-                done = [pack(code_of[a], len_of[a]) for a in (np.frombuffer(x, kind) for x in pdf.ids)]
-                yield pd.DataFrame({"part": pdf.part.map(rank), "doc_id": pdf.doc_id, "start": pdf.before + pdf.part.map(base), "n_tokens": pdf.n_tokens, "bits": [x[0] for x in done], "checkpoints": [x[1] for x in done]})
+            for pdf in by_size(big, "ids", 1_000_000, 1024):
+                at = np.frombuffer(b"".join(pdf.ids), kind)
+                bits, checkpoints = pack(code_of[at], len_of[at], pdf.n_tokens.to_numpy())
+                yield pd.DataFrame({"part": pdf.part.map(rank), "doc_id": pdf.doc_id, "start": pdf.before + pdf.part.map(base), "n_tokens": pdf.n_tokens, "bits": bits, "checkpoints": checkpoints})
 
     table = raw.mapInPandas(store, "part int, doc_id long, start long, n_tokens long, bits binary, checkpoints binary")
     table.sortWithinPartitions("part", "start").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/parts")

@@ -77,3 +77,59 @@ print(sum(int(x.sum()) for x in T.unpack(list(t.bits), list(t.checkpoints), t.n_
     tok = T.load(PATH)
     want = sum(sum(tok.encode(r.text, add_special_tokens=False).ids) + 2 for r in df.collect())
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) == want
+
+
+def test_words_are_those_of_the_pre_tokenizer():
+    """Every character of the alphabet, between others of every class."""
+    pre = T.load(PATH).pre_tokenizer
+    chars = [c for c in map(chr, range(0x3000)) if T.PLAIN.fullmatch(c)]
+    assert len(chars) > 400
+    around = ["", "a", "1", "!", " ", "\n", "'", "é", "  "]
+    for c in chars:
+        for s in ["".join((a, c, b, c, c, a)) for a in around for b in around]:
+            assert [s[a:b] for _, (a, b) in pre.pre_tokenize_str(s)] == T.WORDS.findall(s), s
+
+
+def test_each_word_is_encoded_once_and_texts_as_whole(monkeypatch):
+    tok, rnd = T.load(PATH), random.Random(7)
+    bits = ODD + ["\u00a0", "\x0b", "\x1c", "\x85", "\u2028", "²", "ª", "Ж", "“", "…", "'ll", "'S", " '", "\r\n", "e\u0301", "😀", "\x00", " the", "é" * 70]
+    plain = [b for b in bits if T.PLAIN.fullmatch(b) and "endoftext" not in b]
+    texts = [None, ""] + ["".join(rnd.choice(kind) for _ in range(rnd.randrange(1, 40))) for kind in (bits, plain, plain) for _ in range(1500)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    words, asked = T.Words(PATH, "<u2"), []
+    model = words.model
+    words.model = lambda w: asked.append(w) or model(w)
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == want
+    kept = len(asked)
+    words.encode(["don't  the word 12345" for _ in range(50)])
+    assert len(asked) - kept <= 6 and len([w for w in asked if len(w) < 9]) == len({w for w in asked if len(w) < 9})
+    monkeypatch.setattr(T, "KEPT_WORDS", 5)
+    monkeypatch.setattr(T, "CHUNK", 50)
+    long = ["".join(rnd.choice(plain) for _ in range(600)) for _ in range(20)] + ["a" * 3000, " " * 3000, "a  b " * 400]
+    assert [np.frombuffer(x, "<u2").tolist() for x in T.Words(PATH, "<u2").encode(long)] == [tok.encode(t, add_special_tokens=False).ids for t in long]
+
+
+def test_other_tokenizers_encode_whole(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3, "Ġab": 4}, [("a", "b"), ("Ġ", "ab")]))
+    t.normalizer, t.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(f"{tmp_path}/t.json")
+    assert np.frombuffer(T.Words(f"{tmp_path}/t.json", "<u2").encode(["AB ab"])[0], "<u2").tolist() == t.encode("AB ab").ids == [4, 4]
+
+
+def test_documents_packed_together():
+    rnd = np.random.default_rng(3)
+    ids = np.arange(300)
+    lengths = T.code_lengths((1.2 ** (ids % 60)).astype(np.int64) + 1)
+    codes, sym, ln = T.canonical(ids, lengths)
+    counts = np.array([1, 256, 257, 1, 1, 2000, 31, 512] + list(rnd.integers(1, 40, 200)))
+    at = rnd.integers(0, 300, counts.sum())
+    bits, checkpoints = T.pack(codes[at], lengths[at], counts)
+    docs = np.split(at, np.cumsum(counts)[:-1])
+    for d, b, c in zip(docs, bits, checkpoints):
+        s = "".join(f"{codes[i]:0{lengths[i]}b}" for i in d)
+        assert b == int(s.ljust(-(-len(s) // 8) * 8, "0"), 2).to_bytes(-(-len(s) // 8), "big")
+        starts = np.cumsum(lengths[d]) - lengths[d]
+        assert np.frombuffer(c, "<u8").tolist() == starts[::T.BLOCK].tolist()
+    for d, x in zip(docs, T.unpack(bits, checkpoints, counts, sym, ln)):
+        assert x.tolist() == d.tolist()
