@@ -5,10 +5,10 @@ chunks share, MARGIN characters away from the earlier chunk's end, is proven sta
 the pre-tokenizer reads left to right, so from there on both see the same text. The
 chunks are spliced there; where none is shared the overlap is doubled.
 
-For op1 the words of the pre-tokenizer are cut by the same pattern over a stated alphabet, where
-\\p{L}, \\p{N} and \\s need no tables, and the library encodes each different word of a process once
-(`Words`). Texts with other characters or added tokens, and other kinds of tokenizers, are
-encoded whole.
+For op1 the library encodes each different word of a process once (`Words`). Text of a stated
+alphabet, where \\p{L}, \\p{N} and \\s need no tables, is cut into words by the pre-tokenizer's pattern;
+other characters, with all up to the nearest certain ends of words, by the pre-tokenizer. Texts
+with added tokens, and other kinds of tokenizers, are encoded whole.
 
 A stored file is a folder: `book` holds the code (id, length), `parts` the documents (part,
 doc_id, start, n_tokens, bits, checkpoints) in one folder per range of doc_ids, each in
@@ -32,10 +32,11 @@ from .common import by_size, documents, materialize, release, shared_dir
 CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 32
 MAX_BITS, BLOCK, END_ID = 16, 256, 2
 LETTERS, DIGITS, SPACES, MARKS = "A-Za-zÀ-ÖØ-öø-ſЀ-ҁ", "0-9", r"\t\n\r\x20", r"!-/:-@\[-`{-~¡§«°»¿‐-‧€"
-PLAIN = re.compile(f"[{LETTERS}{DIGITS}{SPACES}{MARKS}]*")
+PLAIN, OTHER = (re.compile(f"[{x}{LETTERS}{DIGITS}{SPACES}{MARKS}]{y}") for x, y in (("", "*"), ("^", "")))
 WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[{MARKS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-BREAK = re.compile("[!-~](?= )")  # a word always ends between these two
-KEPT_WORDS, KEPT_CHARS = 1 << 20, 64  # about 150 MB a process
+# a word always ends between these two: none holds a space after another character
+BREAK, LAST_BREAK = re.compile("(?<=[!-~])(?= )"), re.compile("(?s:.*)(?<=[!-~])(?= )")
+KEPT_WORDS, KEPT_CHARS = 1 << 20, 64
 
 
 def load(path: str):
@@ -107,6 +108,8 @@ class Words(dict):
             self.pre, self.model = self.tok.pre_tokenizer.pre_tokenize_str, self.tok.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > CHUNK:
+            return np.array(encode_long(self.tok, word), self.kind).tobytes()
         # printable ASCII but the space stands for itself in the byte-level alphabet
         pieces = [word.replace(" ", "Ġ")] if word.isascii() and word.isprintable() else [p for p, _ in self.pre(word)]
         ids = np.array([t.id for p in pieces for t in self.model(p)], self.kind).tobytes()
@@ -116,18 +119,29 @@ class Words(dict):
             self[word] = ids
         return ids
 
+    def cut(self, text: str) -> list[str]:
+        out, start = [], 0
+        while m := OTHER.search(text, start):
+            before, after = LAST_BREAK.match(text, start, m.start()), BREAK.search(text, m.end())
+            lo, hi = before.end() if before else start, after.end() if after else len(text)
+            part = text[lo:hi]
+            out += WORDS.findall(text, start, lo)
+            out += [part[a:b] for _, (a, b) in self.pre(part)]
+            start = hi
+        return out + WORDS.findall(text, start)
+
     def encode(self, texts) -> list[bytes]:
         texts, of = [t or "" for t in texts], self.__getitem__
-        whole = [i for i, t in enumerate(texts) if not (self.cuts and PLAIN.fullmatch(t)) or any(a in t for a in self.added)]
+        whole = [i for i, t in enumerate(texts) if not self.cuts or any(a in t for a in self.added)]
         out = dict(zip(whole, encode_texts(self.tok, [texts[i] for i in whole])))
-        return [np.array(out[i], self.kind).tobytes() if i in out else b"".join(b"".join(map(of, WORDS.findall(s))) for s in _stretches(t))
+        return [np.array(out[i], self.kind).tobytes() if i in out else b"".join(b"".join(map(of, self.cut(s))) for s in _stretches(t))
                 for i, t in enumerate(texts)]
 
 
 def _stretches(text: str):
     """The text in parts of about CHUNK characters that end where a word does."""
     start = 0
-    while len(text) - start > CHUNK and (m := BREAK.search(text, start + CHUNK)):
+    while len(text) - start > CHUNK and (m := BREAK.search(text, start + CHUNK)):  # looks behind that position too
         yield text[start:m.end()]
         start = m.end()
     yield text[start:]

@@ -101,11 +101,15 @@ def test_each_word_is_encoded_once_and_texts_as_whole(monkeypatch):
     words.model = lambda w: asked.append(w) or model(w)
     assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == want
     kept = len(asked)
+    words.encode(["don't  the 😀 word 12345", "the\u00a0word word the word the word"] * 50)
+    assert len(asked) - kept <= 20
+    kept = len(asked)
     words.encode(["don't  the word 12345" for _ in range(50)])
     assert len(asked) - kept <= 6 and len([w for w in asked if len(w) < 9]) == len({w for w in asked if len(w) < 9})
     monkeypatch.setattr(T, "KEPT_WORDS", 5)
     monkeypatch.setattr(T, "CHUNK", 50)
-    long = ["".join(rnd.choice(plain) for _ in range(600)) for _ in range(20)] + ["a" * 3000, " " * 3000, "a  b " * 400]
+    odd = [b for b in bits if "endoftext" not in b]
+    long = ["".join(rnd.choice(kind) for _ in range(600)) for kind in (plain, odd) for _ in range(20)] + ["日本" * 900, "日本 " * 900, "a" * 3000, " " * 3000, "a  b " * 400]
     assert [np.frombuffer(x, "<u2").tolist() for x in T.Words(PATH, "<u2").encode(long)] == [tok.encode(t, add_special_tokens=False).ids for t in long]
 
 
