@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from quarry.operators import benchmark as B, pairs
+from quarry.operators import benchmark as B, pairs, retrieval as R
 
 
 def moved(spark, df):
@@ -40,3 +40,17 @@ def test_similar_pairs_move_sets_alone(spark):
     got, size = moved(spark, B.similar_pairs(docs, "lang"))
     assert {tuple(x) for x in got} == alike(sets, 0.5)
     assert size < 1_500_000  # 320,000 pairs are compared
+
+
+def test_dense_multiplies_in_tasks_and_keeps_ties_by_id(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(size=(150, 8)), np.repeat(r.normal(size=(1, 8)), 60, 0)])
+    rows = spark.createDataFrame([(int(i), v[i].tolist()) for i in r.permutation(len(v))], "id long, embedding array<float>").repartition(7)
+    q = rows.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    df = R.dense(q, rows, 9)
+    assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
+    u = v.astype(np.float32).astype(float)
+    u = u / np.sqrt((u * u).sum(1, keepdims=True))
+    s = np.round(u @ u.T, 6)
+    want = {(i, j, k + 1) for i in range(0, len(v), 3) for k, j in enumerate(sorted(range(len(v)), key=lambda j: (-s[i, j], j))[:9])}
+    assert {(x.query_id, x.id, x["rank"]) for x in df.collect()} == want
