@@ -2,6 +2,8 @@
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 WORDS = re.compile(r"\w+")
@@ -28,19 +30,33 @@ def pack_sentences(sentences: list[str], size: int, overlap: int) -> list[str]:
     return done + ([" ".join(t for t, _ in held)] if held else [])
 
 
+def _slices(batch: pa.RecordBatch, chars: int = 1_000_000, rows: int = 512):
+    """Slices of at most `rows` rows and about `chars` bytes of text; a longer text is a slice alone."""
+    n, start, total = pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist(), 0, 0
+    for i, k in enumerate(n):
+        if i > start and (total + k > chars or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += k
+    if len(n):
+        yield batch.slice(start)
+
+
 def chunk(docs: DataFrame, id_col: str, size: int, overlap: int, least: int = 10) -> DataFrame:
-    """id, chunk_index, text, token_count; short chunks go, their index stays used."""
+    """id, chunk_index, text, token_count; short chunks go, their index stays used. A task holds the
+    chunks of a slice of its texts at a time."""
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf[id_col], pdf.text):
-                sents = [x for x in (p.strip() for p in re.split(r"(?<=[.!?])\s+", t or "")) if x]
-                for k, c in enumerate(pack_sentences(sents, size, overlap)):
-                    n = len(WORDS.findall(c))
-                    if n >= least:
-                        rows.append((i, k, c, n))
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "token_count"])
-    return docs.select(id_col, "text").mapInPandas(run, f"{id_col} long, chunk_index int, text string, token_count int")
+        for b in batches:
+            for part in _slices(b):
+                rows = []
+                for i, t in zip(part[id_col].to_pylist(), part["text"].to_pylist()):
+                    sents = [x for x in (p.strip() for p in re.split(r"(?<=[.!?])\s+", t or "")) if x]
+                    for k, c in enumerate(pack_sentences(sents, size, overlap)):
+                        n = len(WORDS.findall(c))
+                        if n >= least:
+                            rows.append((i, k, c, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.int32(), pa.string(), pa.int32()))], [id_col, "chunk_index", "text", "token_count"])
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} long, chunk_index int, text string, token_count int")
 
 
 def word_windows(docs: DataFrame, id_col: str, size: int, overlap: int) -> DataFrame:

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from __spark_entry__ import queries
-from quarry.operators import benchmark as B, pairs, retrieval as R, scoring
+from quarry.operators import benchmark as B, chunks as C, pairs, retrieval as R, scoring
 
 
 def moved(spark, df):
@@ -123,9 +124,43 @@ def test_searches_move_no_pairs(spark, corpus, search):
     assert size < 500_000  # 54,000 pairs of a question and a text have a word in common
 
 
-def test_texts_stay_where_they_lie(spark):
+@pytest.fixture
+def large(spark):
+    """Tables count as too large to be broadcast unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_stay_where_they_lie(spark, large):
     for name in ("c5_rerank", "d6_format_context", "d8_judge_listing"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")
         plan.collect()
         done = plan._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
         assert not re.search(r"Exchange hashpartitioning\((doc_id|id)#", done), name
+
+
+def test_chunks_come_in_slices():
+    sizes = []
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            sizes.extend(len(x) for x in run([texts.to_pandas()]))
+
+        def mapInArrow(self, run, schema):
+            sizes.extend(len(x) for x in run([texts]))
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [f"{i} " + "word " * 30 if i % 7 else None for i in range(3000)]})
+    C.chunk(Docs(), "doc_id", 512, 64)
+    assert sum(sizes) == sum(1 for i in range(3000) if i % 7) and max(sizes) <= 512
+
+
+def test_chunks_of_texts(spark):
+    text = "One two three four five six seven eight nine ten. Eleven twelve. "
+    got = C.chunk(spark.createDataFrame([(1, text * 2), (2, None), (3, ""), (4, "short one")], "doc_id long, text string"), "doc_id", 12, 2).collect()
+    first = "One two three four five six seven eight nine ten. Eleven twelve."
+    assert [tuple(x) for x in got] == [(1, 0, first, 12), (1, 1, "Eleven twelve. One two three four five six seven eight nine ten.", 12)] + [tuple(x) for x in got[2:]]
+    assert {x.doc_id for x in got} == {1}
