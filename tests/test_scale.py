@@ -24,10 +24,10 @@ def alike(sets, most):
     return {(a, b, round(len(s & t) / len(s | t), 6)) for a, (g, s) in enumerate(sets) for b, (h, t) in enumerate(sets) if a < b and g == h and s and len(s & t) > most * len(s | t)}
 
 
-@pytest.mark.parametrize("few", [200, 250_000])
+@pytest.mark.parametrize("words", [500, 4_000_000])
 @pytest.mark.parametrize("most", [0.5, 0.8])
-def test_similar_pairs_of_blocks(spark, monkeypatch, few, most):
-    monkeypatch.setattr(pairs, "FEW", few)
+def test_similar_pairs_of_blocks(spark, monkeypatch, words, most):
+    monkeypatch.setattr(pairs, "WORDS", words)
     r, sets = np.random.default_rng(1), []
     for i in range(240):
         s = set(r.integers(0, 400, r.integers(0, 60)).tolist())
